@@ -44,8 +44,8 @@ def mix(sized: DataFrame, config: DataFrame, target: float | None = None, seed:
 
     Rows without tokens or of a source that isn't configured are never emitted. ``config``: (subset, weight,
     max_epochs); null weights and epochs count as 0. Repeated rows are documents of their own. The prefix sum has two
-    levels: counts per bucket of the order, then numbers within a bucket. The order goes by size class and then by
-    hash, so each source's sample also keeps its distribution of sizes, and the largest bucket is bounded whatever
+    levels: counts per bucket of the order, then numbers within a bucket. The order goes by size class, hash bucket,
+    then size, so each source keeps its distribution of sizes in the sample, and the largest bucket is bounded whatever
     share of the rows one source has.
     """
     rows = config.where("subset is not null").select("subset", "weight", "max_epochs").limit(MAX_SUBSETS + 1).collect()
@@ -67,7 +67,7 @@ def mix(sized: DataFrame, config: DataFrame, target: float | None = None, seed:
     starts = ordered.groupBy("subset", "bucket").agg(F.count(F.lit(1)).alias("n")).select(
         "subset", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")
     )
-    within = Window.partitionBy("subset", "bucket").orderBy("h", "doc_id", "n_tokens")
+    within = Window.partitionBy("subset", "bucket").orderBy("n_tokens", "h", "doc_id")
     # rates: at most MAX_SUBSETS rows
     numbered = ordered.withColumn("i", F.row_number().over(within)).join(small(starts), ["subset", "bucket"]).join(F.broadcast(rate_df), "subset")
     i = F.col("first") + F.col("i")
