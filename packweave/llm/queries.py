@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import binpack, mixing, splitting, token_budget
+from . import binpack, leakage, mixing, splitting, token_budget
 
 
 def queries() -> dict:
     return {
         "p1_token_budget": token_budget.p1_token_budget,
         "p1_document_tokens": token_budget.p1_document_tokens,
+        "p3_found": leakage.p3_found,
+        "p3_leaks": leakage.p3_leaks,
+        "p3_item_report": leakage.p3_item_report,
         "p4_found": splitting.p4_found,
         "p4_pieces": splitting.p4_pieces,
         "p5_sequences": binpack.p5_sequences,
