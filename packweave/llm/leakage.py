@@ -187,14 +187,14 @@ def tiles(a: np.ndarray, b: np.ndarray, least: int = MIN_TILE) -> list[tuple[int
     return sorted(out)
 
 
-def longest_passage(parts: list[tuple[int, int, int]], altered: int = ALTERED) -> tuple[int, int, int]:
-    """(item words, altered words, start in the row) of the longest chain of tiles in the order of both texts, with at
+def longest_passage(parts: list[tuple[int, int, int]], altered: int = ALTERED) -> tuple[int, int, int, int, int]:
+    """(start in the row, start in the item, end in the row, end in the item, altered words) of the longest chain of tiles in the order of both texts, with at
     most one word in ``altered`` altered or added within it."""
-    best = (0, 0, 0)
+    best = (0, 0, 0, 0, 0)
     for i, (x0, y0, n0) in enumerate(parts):
         x, y, edits = x0 + n0, y0 + n0, 0
-        if n0 > best[0]:
-            best = (n0, 0, x0)
+        if n0 > best[3] - best[1]:
+            best = (x0, y0, x, y, 0)
         j = i + 1
         while j < len(parts):
             pick = None
@@ -207,12 +207,36 @@ def longest_passage(parts: list[tuple[int, int, int]], altered: int = ALTERED) -
             edits += pick[0]
             px, py, pn = parts[pick[1]]
             x, y, j = px + pn, py + pn, pick[1] + 1
-            span = y - y0
-            if edits * altered <= span and span > best[0]:
-                best = (span, edits, x0)
+            if edits * altered <= y - y0 > best[3] - best[1]:
+                best = (x0, y0, x, y, edits)
     return best
 
 
+def stretch_ends(a: np.ndarray, b: np.ndarray, x0: int, y0: int, x1: int, y1: int, edits: int, altered: int = ALTERED) -> tuple[int, int, int]:
+    """Let a passage a[x0:x1] ~ b[y0:y1] grow at both ends over single altered, added or left-out words behind which
+    equal words follow, too few for a tile. Gives (item words, altered words, start in a)."""
+
+    def run(x: int, y: int, step: int) -> int:
+        n = 0
+        while 0 <= x < len(a) and 0 <= y < len(b) and a[x] == b[y]:
+            n, x, y = n + 1, x + step, y + step
+        return n
+
+    for step in (1, -1):
+        while True:
+            x, y = (x1, y1) if step > 0 else (x0 - 1, y0 - 1)
+            got, dx, dy = max((run(x + dx * step, y + dy * step, step), dx, dy) for dx, dy in ((1, 1), (1, 0), (0, 1)))
+            span = y1 - y0 + dy + got
+            if not got or (edits + 1) * altered > span:
+                break
+            edits += 1
+            if step > 0:
+                x1, y1 = x1 + dx + got, y1 + dy + got
+            else:
+                x0, y0 = x0 - dx - got, y0 - dy - got
+    return y1 - y0, edits, x0
+
+
 def find_leaks(corpus: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Pairs of a row of ``corpus`` (row_id, contents) and an item of ``items`` (eval_id, text) that share a passage or
     at least COVERAGE of the item's words in tiles of MIN_TILE words.
@@ -248,7 +272,8 @@ def _leaks_of_block(corpus: DataFrame, block: list[tuple[int, str]]) -> DataFram
             item = index.words[i]
             found = tiles(lists[r], item)
             cover = sum(n for _, _, n in found) / len(item)
-            span, altered, start = longest_passage(found)
+            x0, y0, x1, y1, edits = longest_passage(found)
+            span, altered, start = stretch_ends(lists[r], item, x0, y0, x1, y1, edits) if y1 else (0, 0, 0)
             passage = span >= int(index.need[i])
             if passage or cover >= COVERAGE:
                 out.append((rows[r], int(index.eval_id[i]), len(item), span, altered, start, round(cover, 6), passage))
