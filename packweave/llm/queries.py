@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import binpack, leakage, mixing, splitting, token_budget
+from . import binpack, leakage, mixing, quality, splitting, token_budget
 
 
 def queries() -> dict:
     return {
-        "p1_token_budget": token_budget.p1_token_budget,
         "p1_document_tokens": token_budget.p1_document_tokens,
+        "p1_token_budget": token_budget.p1_token_budget,
+        "p2_found": quality.p2_found,
+        "p2_statistics": quality.p2_statistics,
         "p3_found": leakage.p3_found,
         "p3_leaks": leakage.p3_leaks,
         "p3_item_report": leakage.p3_item_report,
