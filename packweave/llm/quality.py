@@ -81,7 +81,7 @@ _ODD = re.compile(r"[\xc2-\xff][\x80-\xbf]+|[\x80-\x84\x86-\x9f\ufffd□]+|\\u[0
 _CODE = re.compile(
     r"\s*(?:def |class |import \w|from [\w.]+ import|return\b|raise \w|except\b|elif |#include|function\b|const \w|let \w|var \w"
     r"|public |private |static |void |unsigned |int \w|size_t |struct |fn |using |package |@\w+[.(]|//|/\*|\*/|\* @|#\s|#!|\"\"\"|```)"
-    r"|\s*(?:if|for|while|else|try|with|switch|case)\b.*[:{]\s*$|.*[(=)\]<>+].*[;{]\s*$|\s*[})\]]+[;,]?\s*$|\s*[\w.\[\]>*-]+ (?:[-+*/|&^%]?=|<<=|>>=) \S"
+    r"|\s*(?:if|for|while|else|try|with|switch|case)\b.*[:{]\s*$|.*(?:\w\(|\w\[|->|::| [-=<>+*/|&!]?[=<>] ).*[;{]\s*$|\s*[})\]]+[;,]?\s*$|\s*[\w.\[\]>*-]+ (?:[-+*/|&^%]?=|<<=|>>=) \S"
 )
 
 _LANG_WORDS = {lang: frozenset(w.split()) for lang, w in FUNCTION_WORDS.items()}
