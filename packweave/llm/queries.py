@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binpack, leakage, mixing, quality, splitting, token_budget
+from . import binpack, leakage, mixing, pii, quality, splitting, token_budget
 
 
 def queries() -> dict:
@@ -20,6 +20,8 @@ def queries() -> dict:
         "p5_fill": binpack.p5_fill,
         "p6_mixture": mixing.p6_mixture,
         "p6_shares": mixing.p6_shares,
+        "p7_found": pii.p7_found,
+        "p7_redacted": pii.p7_redacted,
     }
 
 
