@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import corpus_queries, packing_queries
+
+PARTS = (corpus_queries, packing_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for p in PARTS for k, v in p.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for p in PARTS for k, v in p.SQL.items()}
