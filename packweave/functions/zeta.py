@@ -36,3 +36,18 @@ def fit_exponent(n: np.ndarray, log_sum: np.ndarray, steps: int = 60) -> np.ndar
 @F.pandas_udf(T.DoubleType())
 def zipf_exponent(n: pd.Series, log_sum: pd.Series) -> pd.Series:
     return pd.Series(fit_exponent(n.to_numpy(), log_sum.to_numpy()))
+
+
+def grid(points: int = 900, step: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
+    """Grid exponents and the values of log_sum / n between which each is the best: the cost of neighbours is equal
+    at the slope of ln zeta between them, which falls with s."""
+    s = np.round(LOWEST + step * np.arange(points), 6)
+    z = log_zeta(s)
+    return s, -np.diff(z) / np.diff(s)
+
+
+@F.pandas_udf(T.DoubleType())
+def zipf_grid_exponent(n: pd.Series, log_sum: pd.Series) -> pd.Series:
+    """The best exponent on the grid, by binary search among the slopes."""
+    s, slopes = grid()
+    return pd.Series(s[np.searchsorted(-slopes, -(log_sum / n).to_numpy(), side="left")])

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EOS_ID
-from ..functions.zeta import log_zeta, zipf_exponent
+from ..functions.zeta import zipf_exponent, zipf_grid_exponent
 
 
 def token_histogram(chunks: DataFrame, unit: list[str]) -> DataFrame:
@@ -24,16 +24,9 @@ def zipf_statistics(histogram: DataFrame, unit: list[str]) -> DataFrame:
     return histogram.groupBy(*unit).agg(F.count(F.lit(1)).alias("n"), F.sum(ln).cast("double").alias("log_sum"))
 
 
-def grid(points: int = 900, step: float = 0.01, start: float = 1.01) -> list[tuple[float, float]]:
-    s = np.round(start + step * np.arange(points), 6)
-    return [(float(a), float(b)) for a, b in zip(s, np.round(log_zeta(s), 9), strict=True)]
-
-
-def zipf_grid(stats: DataFrame, unit: list[str], points: int = 900) -> DataFrame:
-    """Exponent per unit, to two decimals: the grid point of least cost, in JVM code."""
-    table = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(z).alias("z")) for s, z in grid(points)])
-    cost = F.transform(table, lambda x: F.struct(F.round(F.col("n") * x["z"] + x["s"] * F.col("log_sum"), 6).alias("c"), x["s"].alias("s")))
-    return stats.select(*unit, F.array_min(cost)["s"].alias("exponent"))
+def zipf_grid(stats: DataFrame, unit: list[str]) -> DataFrame:
+    """Exponent per unit, to two decimals: the grid point of least cost."""
+    return stats.select(*unit, zipf_grid_exponent(F.col("n").cast("double"), F.col("log_sum")).alias("exponent"))
 
 
 def zipf_refined(stats: DataFrame, unit: list[str]) -> DataFrame:

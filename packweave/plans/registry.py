@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus_queries, packing_queries
+from . import analysis_queries, corpus_queries, evaluation_queries, packing_queries, retrieval_queries
 
-PARTS = (corpus_queries, packing_queries)
+PARTS = (corpus_queries, packing_queries, retrieval_queries, analysis_queries, evaluation_queries)
 
 
 def queries() -> dict:
