@@ -23,7 +23,8 @@ MAX_DOCS = 64
 GROUP_ITEMS = 8192
 WEIGHTS = (1.0, 0.02, 0.02)
 
-PLACED = "sequence_id long, position int, doc_id long, piece_no int, start long, n_tokens int"
+#: Ids pass Python as strings, so nulls and large numbers stay exact.
+PLACED = "sequence_id long, position int, doc_id string, piece_no int, start long, n_tokens int"
 
 
 def vector_best_fit(
@@ -94,7 +95,7 @@ def pack(
     groups = max(1, -(-n_rows // group_items))
     items = (
         sized.where("n_tokens > 0")
-        .select("doc_id", F.col("n_tokens").cast("long").alias("n"))
+        .select(F.col("doc_id").cast("string").alias("doc_id"), F.col("n_tokens").cast("long").alias("n"))
         .select("doc_id", "n", F.explode(F.expr(f"sequence(0L, (n - 1) div {capacity})")).alias("p"))
         .select(
             F.pmod(F.xxhash64("doc_id", "p"), F.lit(groups)).alias("g"),
@@ -134,7 +135,8 @@ def pack(
             yield place(group, w, pd.concat(held))
 
     names = [c.split()[0] for c in PLACED.split(", ")]
-    return items.repartition("g").sortWithinPartitions("g", "doc_id", "piece_no", "start", "n_tokens").mapInPandas(run, PLACED)
+    ordered = items.repartition("g").sortWithinPartitions("g", "doc_id", "piece_no", "start", "n_tokens")
+    return ordered.mapInPandas(run, PLACED).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def document_sizes(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

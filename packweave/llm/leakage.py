@@ -32,7 +32,8 @@ COVERAGE = 0.5
 BLOCK_CHARS = 16 << 20
 CHUNK_WORDS = 100_000
 
-LEAKS = "row_id long, eval_id long, item_words int, passage_words int, altered int, passage_start int, coverage double, passage boolean"
+#: Ids pass Python as strings, so nulls and large numbers stay exact.
+LEAKS = "row_id string, eval_id string, item_words int, passage_words int, altered int, passage_start int, coverage double, passage boolean"
 
 _TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,200}>")
 _LINK = re.compile(r"\]\([^()\s]*\)")
@@ -88,9 +89,9 @@ def _grams(ids: np.ndarray, k: int) -> np.ndarray:
 class ItemIndex:
     """Held-out items as word numbers, with their seed n-grams sorted by hash."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[str | None, str]]):
         listed = [(i, w) for i, t in items if (w := words_of(t))]
-        self.eval_id = np.array([i for i, _ in listed], np.int64)
+        self.eval_id = [i for i, _ in listed]
         self.vocab: dict[str, int] = {}
         self.words = [np.array([self.vocab.setdefault(x, len(self.vocab)) for x in w], np.int64) for _, w in listed]
         self.length = np.array([len(w) for w in self.words], np.int64)
@@ -245,7 +246,7 @@ def find_leaks(corpus: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHA
     Null and blank texts match nothing. Items with the same text each count, as does each repeated row. Items are
     read in blocks of a set size, one pass over the corpus per block; no link is dropped and no text is cut.
     """
-    items = items.where("text is not null").select("eval_id", "text")
+    items = items.where("text is not null").select(F.col("eval_id").cast("string").alias("eval_id"), "text")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
     parts = []
@@ -258,7 +259,7 @@ def find_leaks(corpus: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHA
     return out
 
 
-def _leaks_of_block(corpus: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
+def _leaks_of_block(corpus: DataFrame, block: list[tuple[str | None, str]]) -> DataFrame:
     shared = corpus.sparkSession.sparkContext.broadcast(block)
     held: list[ItemIndex] = []
     gap = np.full(SEED_WORDS, -1, np.int64)
@@ -276,7 +277,7 @@ def _leaks_of_block(corpus: DataFrame, block: list[tuple[int, str]]) -> DataFram
             span, altered, start = stretch_ends(lists[r], item, x0, y0, x1, y1, edits) if y1 else (0, 0, 0)
             passage = span >= int(index.need[i])
             if passage or cover >= COVERAGE:
-                out.append((rows[r], int(index.eval_id[i]), len(item), span, altered, start, round(cover, 6), passage))
+                out.append((rows[r], index.eval_id[i], len(item), span, altered, start, round(cover, 6), passage))
         return out
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -301,7 +302,8 @@ def _leaks_of_block(corpus: DataFrame, block: list[tuple[int, str]]) -> DataFram
             yield pd.DataFrame(out, columns=names)
 
     names = [c.split()[0] for c in LEAKS.split(", ")]
-    return corpus.where("contents is not null").select("row_id", "contents").mapInPandas(scan, LEAKS)
+    slim = corpus.where("contents is not null").select(F.col("row_id").cast("string").alias("row_id"), "contents")
+    return slim.mapInPandas(scan, LEAKS).withColumns({c: F.col(c).cast("long") for c in ("row_id", "eval_id")})
 
 
 def held_out(spark, sf_dir: str) -> DataFrame:

@@ -32,9 +32,10 @@ THRESHOLD = 0.5
 #: Gazetteers are sent to the executors; larger ones are refused.
 MAX_NAMES = 5_000_000
 
-CANDIDATES = "doc_id long, spans array<struct<t:int,s:int,e:int,v:string,p:string>>"
-FOUND = "doc_id long, pii_type string, value string"
-REDACTED = "doc_id long, text string, n_email int, n_phone int, n_id_number int, n_address int, n_name int"
+#: Ids pass Python as strings, so nulls and large numbers stay exact.
+CANDIDATES = "doc_id string, spans array<struct<t:int,s:int,e:int,v:string,p:string>>"
+FOUND = "doc_id string, pii_type string, value string"
+REDACTED = "doc_id string, text string, n_email int, n_phone int, n_id_number int, n_address int, n_name int"
 
 # Street words by language, endings of domains, surnames written with one sign, words around spans.
 STREET_WORDS = (
@@ -502,7 +503,7 @@ def find_candidates(docs: DataFrame, gazetteer: DataFrame) -> DataFrame:
                     out.append((doc_id, [(t, s, e, value_of(text[s:e]), v) for t, s, e, v in got]))
             yield pd.DataFrame(out, columns=["doc_id", "spans"])
 
-    return docs.where("text is not null").select("doc_id", "text").mapInPandas(run, CANDIDATES)
+    return docs.where("text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, CANDIDATES)
 
 
 def fit(found: DataFrame) -> SpanModel:
@@ -530,7 +531,7 @@ def personal_data(docs: DataFrame, gazetteer: DataFrame) -> DataFrame:
                 out += [(doc_id, TYPES[t], value[(s, e)]) for t, s, e in chosen]
             yield pd.DataFrame(out, columns=["doc_id", "pii_type", "value"])
 
-    return found.mapInPandas(run, FOUND).where("value <> ''").distinct()
+    return found.mapInPandas(run, FOUND).where("value <> ''").distinct().withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def redact(docs: DataFrame, gazetteer: DataFrame) -> DataFrame:
@@ -557,7 +558,7 @@ def redact(docs: DataFrame, gazetteer: DataFrame) -> DataFrame:
                 out.append((doc_id, "".join(parts) + text[at:], *n))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in REDACTED.split(", ")])
 
-    return docs.select("doc_id", "text").mapInPandas(run, REDACTED)
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, REDACTED).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def p7_found(spark, sf_dir: str) -> DataFrame:

@@ -67,7 +67,8 @@ QUANTILE_Z = 3.09  # 0.999
 REWEIGHT_Z = 1.96  # 0.975
 STEPS = 3
 
-MEASURED = "doc_id long, language string, code boolean, " + ", ".join(f"{s} double" for s in STATISTICS)
+#: Ids pass Python as strings, so nulls and large numbers stay exact.
+MEASURED = "doc_id string, language string, code boolean, " + ", ".join(f"{s} double" for s in STATISTICS)
 
 _WORD = re.compile(r"[^\W\d_]+")
 _TAG = re.compile(r"</?[a-zA-Z!][^<>\n]{0,300}>")
@@ -78,11 +79,13 @@ _ENDERS, _CLOSERS = frozenset(".!?…。！？"), "\"'”’»」)]*_"
 _CUT = re.compile(r"[.!?…][\"'”’»)\]*_]*\s+|[。！？][”’»」)\]]*\s*|[\U0001F300-\U0001FAFF☺-☻]+\s*")
 _BULLET = re.compile(r"\s*(?:[-*+•·–—○▪■◦‣>#]|\[[ xX]?\]|\(?[0-9]{1,3}[.)\]:]|#\d+|\(?[a-zA-Z][.)])\s")
 _ODD = re.compile(r"[\xc2-\xff][\x80-\xbf]+|[\x80-\x84\x86-\x9f\ufffd□]+|\\u[0-9a-f]{4}|%20|&[a-z]{2,6};|\?{3,}|[!$]{3,}")
-_CODE = re.compile(
+_CODE_START = re.compile(
     r"\s*(?:def |class |import \w|from [\w.]+ import|return\b|raise \w|except\b|elif |#include|function\b|const \w|let \w|var \w"
     r"|public |private |static |void |unsigned |int \w|size_t |struct |fn |using |package |@\w+[.(]|//|/\*|\*/|\* @|#\s|#!|\"\"\"|```)"
-    r"|\s*(?:if|for|while|else|try|with|switch|case)\b.*[:{]\s*$|.*(?:\w\(|\w\[|->|::| [-=<>+*/|&!]?[=<>] ).*[;{]\s*$|\s*[})\]]+[;,]?\s*$|\s*[\w.\[\]>*-]+ (?:[-+*/|&^%]?=|<<=|>>=) \S"
+    r"|\s*[})\]]+[;,]?\s*$|\s*[\w.\[\]>*-]{1,80} (?:[-+*/|&^%]?=|<<=|>>=) \S"
 )
+_CODE_BLOCK = re.compile(r"\s*(?:if|for|while|else|try|with|switch|case)\b")
+_CODE_INNER = re.compile(r"\w\(|\w\[|->|::| [-=<>+*/|&!]?[=<>] ")
 
 _LANG_WORDS = {lang: frozenset(w.split()) for lang, w in FUNCTION_WORDS.items()}
 
@@ -105,6 +108,14 @@ _CLASS = {lang: _classes(lang) for lang in (*FUNCTION_WORDS, "zh", "xx")}
 _ODD_PAIR = re.compile(f"(?=({ODD_NEIGHBOURS}))")
 
 
+def is_code(line: str) -> bool:
+    """Whether a line reads as program code. Each pattern runs once from the left, so long lines cost no more per sign."""
+    if _CODE_START.match(line):
+        return True
+    last = line.rstrip()[-1:]
+    return last in (";", "{") and _CODE_INNER.search(line) is not None or last in (":", "{") and _CODE_BLOCK.match(line) is not None
+
+
 def ends_sentence(s: str) -> bool:
     """Whether the last character, closing marks aside, ends a sentence."""
     if not s:
@@ -245,7 +256,7 @@ def measure(text: str) -> tuple[str, bool, list[float]] | None:
     share = min(1.0, running / max(total + len(seen), 1))
     if odd_share > ODD_LIMIT and pairs >= 20:  # shuffled words: sentences that seem right are chance
         share *= 0.3
-    code_size = sum(len(x) for x in lines if _CODE.match(x)) if share < CORE_SHARE else 0
+    code_size = sum(len(x) for x in lines if is_code(x)) if share < CORE_SHARE else 0
     code = code_size > 0.5 * max(1.0, (1 - share) * size) and code_size > 0.15 * size
     values = [
         math.log10(n_words + 1), letters / max(n_words, 1) if language != "zh" else 2.0, symbols / size, digits / size,
@@ -268,7 +279,8 @@ def document_statistics(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=names)
 
     names = [c.split()[0] for c in MEASURED.split(", ")]
-    return docs.where("text is not null").select("doc_id", "text").mapInPandas(run, MEASURED)
+    slim = docs.where("text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return slim.mapInPandas(run, MEASURED).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def chi_squared(dims: int, z: float) -> float:

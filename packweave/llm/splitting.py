@@ -30,7 +30,7 @@ CLOSERS = "\"'”’»)]*_“"
 WIDE_ENDS = "。！？"
 
 PIECES = (
-    "row_id long, piece_no int, n_pieces int, start long, end long, n_ids int, overlap int, cut_kind string, "
+    "row_id string, piece_no int, n_pieces int, start long, end long, n_ids int, overlap int, cut_kind string, "
     "contents string, token array<int>"
 )
 
@@ -163,8 +163,9 @@ def split_oversized(items: DataFrame, vocab: DataFrame, limit: int = LIMIT, over
             yield pd.DataFrame(out, columns=names)
 
     names = [c.split()[0] for c in PIECES.split(", ")]
-    long_rows = items.select("row_id", F.filter("token", lambda x: x > 2).alias("ids")).where(F.size("ids") > limit)
-    return long_rows.mapInPandas(cut, PIECES)
+    # ids pass Python as strings, so nulls and large numbers stay exact
+    long_rows = items.select(F.col("row_id").cast("string").alias("row_id"), F.filter("token", lambda x: x > 2).alias("ids")).where(F.size("ids") > limit)
+    return long_rows.mapInPandas(cut, PIECES).withColumn("row_id", F.col("row_id").cast("long"))
 
 
 def p4_pieces(spark, sf_dir: str) -> DataFrame:

@@ -62,14 +62,15 @@ def with_subset(docs: DataFrame, config: DataFrame) -> DataFrame:
     rows = config.where("subset is not null").select("subset_idx", "subset").limit(MAX_SUBSETS + 1).collect()
     if len(rows) > MAX_SUBSETS:
         raise ValueError(f"more than {MAX_SUBSETS} configured subsets")
-    names = [F.lit(x) for r in rows for x in (re.sub(r"[^a-z0-9]", "", r.subset.lower()), r.subset)]
-    numbers = [F.lit(x) for r in rows if r.subset_idx is not None for x in (int(r.subset_idx), r.subset)]
+    by_name = {re.sub(r"[^a-z0-9]", "", r.subset.lower()): r.subset for r in rows}
+    by_number = {int(r.subset_idx): r.subset for r in rows if r.subset_idx is not None}
+    names, numbers = ([F.lit(x) for pair in m.items() for x in pair] for m in (by_name, by_number))
     number = F.regexp_extract(_tidy(F.col("source")), r"^src(\d{1,18})$", 1)
-    index = F.when(number != "", (number.cast("long") % len(rows)).cast("int"))
+    index = F.when(number != "", (number.cast("long") % max(1, len(by_number))).cast("int"))
     given = F.regexp_replace(_tidy(F.col("meta.redpajama_set_name")), r"[^a-z0-9]", "")
-    by_name = [F.try_element_at(F.create_map(*names), given)] if names else []
-    by_number = [F.try_element_at(F.create_map(*numbers), index)] if numbers else []
-    return docs.withColumn("subset_key", F.coalesce(*by_name, *by_number, F.lit(UNKNOWN)))
+    found = [F.try_element_at(F.create_map(*names), given)] if names else []
+    found += [F.try_element_at(F.create_map(*numbers), index)] if numbers else []
+    return docs.withColumn("subset_key", F.coalesce(*found, F.lit(UNKNOWN)))
 
 
 def document_tokens(docs: DataFrame, vocab: DataFrame, config: DataFrame) -> DataFrame:
