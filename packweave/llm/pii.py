@@ -101,7 +101,7 @@ _PHONE_CONTEXT = re.compile(
     r"phone|tel\b|tél|tel\.|call|text\b|ring|whatsapp|mobile|fax|number was|my old number|contact|телефон|номеру|звон|контакт|电话|手机|llame|contactez|rückfragen|telefon|regards|desk of|signal|cell", re.I
 )
 _OTHER_NUMBER = re.compile(
-    r"(?:grid reference|isbn|issn|record|doi|\brev\b|build|sku|part number|parts? no|invoice|version|order no|port\b|serial|release|commit|model)\W*(?:[\d.\-/x ]*\W*)?$", re.I
+    r"\b(?:grid reference|isbn|issn|record|doi|rev|build|sku|part number|parts? no|invoice|version|order no|port|serial|release|commit|model)\W*(?:[\d.\-/x ]*\W*)?$", re.I
 )
 _ID_LABEL = re.compile(
     r"ssn|ss#|social security|passport|licen[cs]e|personal number|personnummer|identity|\bid\b|tax (?:id|n)|steuer|citizen|fiscal|national n|ni number|insurance n|travel doc|document|card|docum|докум|паспорт|身份证|护照|num[ée]ro|lautet|nir\b|dni\b|gave\b|taxpayer", re.I
@@ -231,11 +231,12 @@ def _phones(text: str) -> Iterator[tuple]:
         if not 8 <= digits <= 15 or _TAX_FORM.fullmatch(span):
             continue
         before, after = _flat(text[max(0, s - 48) : s]), _flat(text[e : e + 12])
+        other = _OTHER_NUMBER.search(before)
         yield (
             1, s, e,
             _mark(
                 1 if span[0] == "+" or span.startswith("00") else 0, 1 if best else -1, 1 if span[0] in "0(" else 0,
-                1 if _PHONE_CONTEXT.search(before) else 0, -1 if _OTHER_NUMBER.search(before) else 0,
+                1 if not other and _PHONE_CONTEXT.search(before) else 0, -1 if other else 0,
                 -1 if _ID_LABEL.search(before[-22:]) and not _PHONE_CONTEXT.search(before[-14:]) or _ID_AFTER.search(after) else 0,
             ),
         )
@@ -246,12 +247,13 @@ def _numbers(text: str, lex: Lexicon) -> Iterator[tuple]:
         for m in pattern.finditer(text):
             s, e = m.span()
             before, after = _flat(text[max(0, s - 44) : s]), _flat(text[e : e + 40])
-            label = _ID_LABEL.search(before[-32:]) or _ID_AFTER.search(after)
+            other = _OTHER_NUMBER.search(before)  # the words right before the number go before labels further off
+            label = _ID_AFTER.search(after) or not other and _ID_LABEL.search(before[-32:])
             person = any(lex.form(w) for w in _TOKEN.findall(before + " " + after))
             yield (
                 2, s, e,
                 _mark(
-                    1 if label else -1, -1 if _OTHER_NUMBER.search(before) else 0, 1 if form not in ("security", "nine", "tax") else 0,
+                    1 if label else -1, -1 if other else 0, 1 if form not in ("security", "nine", "tax") else 0,
                     1 if person else 0, -1 if _PHONE_CONTEXT.search(before[-14:]) and not label else 0, -1 if form == "nine" else 0,
                 ),
             )
@@ -452,7 +454,7 @@ def estimate(patterns: list[str], counts: np.ndarray, steps: int = EM_STEPS) ->
     return q
 
 
-def train(patterns: list[str], counts: np.ndarray, soft: np.ndarray, ridge: float = 1.0, steps: int = 60) -> np.ndarray:
+def train(patterns: list[str], counts: np.ndarray, soft: np.ndarray, ridge: float = 0.1, steps: int = 60) -> np.ndarray:
     """Weights of a logistic classifier of votes, trained on soft labels by Newton steps."""
     x = _features(patterns)
     w = np.zeros(x.shape[1])

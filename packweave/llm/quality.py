@@ -244,7 +244,7 @@ def measure(text: str) -> tuple[str, bool, list[float]] | None:
                 elif ended:
                     after = foreign and known >= least * n
                 else:
-                    after = least > 0 and known >= max(least, 0.2) * n
+                    after = least > 0 and known >= max(least, 0.2) * n and len(set(ws)) >= min(0.3 * n, 40)
             if after and strange and sum(map(len, _ODD.findall(s))) > 0.05 * n_s:
                 after = False
             if after:
