@@ -85,6 +85,7 @@ _ADDRESS_DE = re.compile(rf"(?<![\w-])[^\W\d_]{{3,}}(?:{'|'.join(STREET_ENDINGS_
 _ADDRESS_FR = re.compile(rf"(?<![\w-])\d{{1,4}}(?:\s+(?:bis|ter|quater))?\s*,?\s+(?:{'|'.join(STREET_WORDS_FR.split())})\s+(?:(?:de|du|des|la|le)\s+)*{_WORD}(?:\s*,\s*(?:\d{{5}}\s+)?({_WORD})())?", re.I)
 _ADDRESS_ES = re.compile(rf"(?<!\w)(?:{'|'.join(STREET_WORDS_ES.split())}|C/)\.?\s+(?:(?:de|del|la|los)\s+)*{_WORD}\s*,?\s+(?:n[º°.]\s*)?\d{{1,4}}\s?[A-Z]?\b(?:\s*,\s*(?:\d{{5}}\s+)?({_WORD})())?", re.I)
 _EN_WORDS, _FR_WORDS, _ES_WORDS = (frozenset(x.split()) for x in (STREET_WORDS, STREET_WORDS_FR, STREET_WORDS_ES))
+_SMALL_PARTS = _EN_WORDS | _FR_WORDS | _ES_WORDS | NOT_GIVEN | {"bis", "ter", "quater", "du", "des", "apt", "flat", "unit", "suite"}
 _DE_ENDINGS = tuple(STREET_ENDINGS_DE.split())
 _LONG_NUMBER = re.compile(r"\d[\d\s().\-/ \xa0]{5,}\d|\d\d\s?\d\d\s?\d\d\s?[A-Da-d]\b")
 _TOKEN = re.compile(r"[^\W\d_]+")
@@ -106,7 +107,7 @@ _OTHER_NUMBER = re.compile(
 _ID_LABEL = re.compile(
     r"ssn|ss#|social security|passport|licen[cs]e|personal number|personnummer|identity|\bid\b|tax (?:id|n)|steuer|citizen|fiscal|national n|ni number|insurance n|travel doc|document|card|docum|докум|паспорт|身份证|护照|num[ée]ro|lautet|nir\b|dni\b|gave\b|taxpayer", re.I
 )
-_ID_AFTER = re.compile(r"^[\s.,;)]*(?:as the number|выдан|\((?:[a-z' .-]*)(?:ssn|ss#|social|passport|licen|personal|identity|id|tax|steuer|ni|insurance|travel|card)|for [A-Z]|\) signed)", re.I)
+_ID_AFTER = re.compile(r"^[\s.,;)]*(?:as the number|выдан|\((?:[a-z' .-]*)(?:ssn|ss#|social|passport|licen|personal|identity|id|tax|steuer|ni|insurance|travel|card|citizen)|(?-i:for [A-Z][a-z]+,? (?:[A-Z]\.? )?[A-Z])|\) signed)", re.I)
 _ADDRESS_CONTEXT = re.compile(r"lives? at|address|moved from|deliver|cheque|came back from|wohnt|liegt in|anschrift|adresse|trouve|vive en|llegó a|адрес|地址|住|dirección|domicilio|send|visit", re.I)
 _MEASURE = re.compile(r"\b(?:cups?|tbsp|tsp|ml|g|kg|pinch|pieces|slices|oz|people|years|items|boxes|percent)\b", re.I)
 _NAME_BEFORE = re.compile(
@@ -270,8 +271,8 @@ def _addresses(text: str, words: set[str]) -> Iterator[tuple]:
             span = m.group()
             town = next((g for g in m.groups() if g), None)
             code = bool(re.search(r"\d{5}\W*\w*$", span))
-            letters = [w for w in _TOKEN.findall(span) if len(w) > 1]
-            capital = sum(w[0].isupper() for w in letters) >= 0.6 * len(letters)
+            letters = [w for w in _TOKEN.findall(span) if len(w) > 1 and w.lower() not in _SMALL_PARTS]
+            capital = bool(letters) and sum(w[0].isupper() for w in letters) >= 0.6 * len(letters)
             if town and not code and town[0].islower() and (capital or town.lower() in NOT_GIVEN):
                 cut = span.rfind(town)  # what follows the comma is no town
                 e = s + len(span[:cut].rstrip().rstrip(",").rstrip())
@@ -342,7 +343,7 @@ def _names(text: str, lex: Lexicon) -> Iterator[tuple]:
                 continue
             if not g[0].isupper() and not any(p in given for p in parts):
                 alone = text[right.end(1) : right.end(1) + 1] in (*".,;:)|\n", "")
-                if not alone or not _NAME_BEFORE.search(text[max(0, s - 30) : s]):
+                if not (alone and _NAME_BEFORE.search(text[max(0, s - 30) : s])) and not _NAME_AFTER.search(text[right.end(1) : right.end(1) + 30]):
                     continue
             span = (s, right.end(1))
             known = 1 if any(p in given for p in parts) else 0
