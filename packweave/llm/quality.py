@@ -196,13 +196,16 @@ def measure(text: str) -> tuple[str, bool, list[float]] | None:
     odd_size = sum(map(len, odd_chars))
     strange = odd_size > 0.01 * size
     least = LEAST_COMMON.get(language, LEAST_COMMON_ELSE) if language not in ("zh", "xx") else 0.0
-    # prose of a language that isn't known still has a few words again and again; strung-together words don't
-    foreign = language != "xx" or n_words < 25 or sum(c for _, c in counts.most_common(6)) >= 0.18 * n_words
+    # prose of a language that isn't known still has a few short words again and again; strung-together words don't
+    foreign = language != "xx"
+    if not foreign:
+        often = counts.most_common(6)
+        foreign = n_words < 25 or sum(c for _, c in often) >= 0.15 * n_words and sum(len(w) for w, _ in often) <= 4 * len(often)
     klass = _CLASS[language].__getitem__
 
     lines = [x for x in text.split("\n") if x and not x.isspace()]
     seen: dict[str, int] = {}
-    running = repeated = total = odd = pairs = 0
+    running = repeated = total = odd = pairs = common_pairs = 0
     for p in paragraphs(plain, wide > 0):
         after = False
         for s in sentences(p):
@@ -221,12 +224,13 @@ def measure(text: str) -> tuple[str, bool, list[float]] | None:
             ended = ends_sentence(s)
             numbers = False
             if wide and (w := len(_CJK.findall(s))) * 2 > w_letters:
-                after = w >= 5 and ended and w > 0.3 * dense or w >= 12 and w_letters > 0.9 * dense
+                full = ended and (w >= 10 or w >= 5 and s.rstrip(_CLOSERS)[-1:] in "。！？…")
+                after = full and w > 0.3 * dense or w >= 12 and w_letters > 0.9 * dense
                 if after and not strange:
                     running += n_s + 1
                     continue
             elif (numbers := w_letters < 0.75 * dense) and not (
-                ended and w_letters > 0.45 * dense and w_letters > 0.75 * (dense - sum(map(s.count, "0123456789")))
+                ended and least > 0 and w_letters > 0.45 * dense and w_letters > 0.75 * (dense - sum(map(s.count, "0123456789")))
             ):
                 continue
             elif n < 4:
@@ -237,12 +241,13 @@ def measure(text: str) -> tuple[str, bool, list[float]] | None:
                 if not numbers:  # else words stand apart that are no neighbours
                     odd += len(_ODD_PAIR.findall(code_word))
                     pairs += n
+                    common_pairs += known
                 if w_letters > 14 * n or ended is False and n < 8:
                     continue
                 if n < 8:
                     after = known > 0 or not least
                 elif ended:
-                    after = foreign and known >= least * n
+                    after = foreign and known >= least * n and (least > 0 or n <= 60)
                 else:
                     after = least > 0 and known >= max(least, 0.2) * n and len(set(ws)) >= min(0.3 * n, 40)
             if after and strange and sum(map(len, _ODD.findall(s))) > 0.05 * n_s:
@@ -254,7 +259,8 @@ def measure(text: str) -> tuple[str, bool, list[float]] | None:
     symbols = max(0, dense_all - letters - digits)
     odd_share = odd / max(pairs, 1)
     share = min(1.0, running / max(total + len(seen), 1))
-    if odd_share > ODD_LIMIT and pairs >= 20:  # shuffled words: sentences that seem right are chance
+    if pairs >= 20 and (odd_share > ODD_LIMIT or common_pairs < 1.2 * least * pairs):
+        # shuffled or strung-together words: sentences that seem right are chance
         share *= 0.3
     code_size = sum(len(x) for x in lines if is_code(x)) if share < CORE_SHARE else 0
     code = code_size > 0.5 * max(1.0, (1 - share) * size) and code_size > 0.15 * size
