@@ -14,16 +14,18 @@ def document_spans(docs: DataFrame, length: int, seed: int, keys: list[str] | No
     """The part of each document in each sequence, were all documents (of ``keys``) laid end to end in fixed order.
 
     ``docs`` has ``key`` and ``token`` (with end marks). Adds ``chunk_id``, ``at`` (offset in the sequence) and
-    ``piece``. Documents without tokens have no part. Only documents are exploded, never tokens.
+    ``piece``. Documents without tokens have no part. Only documents are exploded, never tokens. With a column
+    ``n_tokens`` the pass that adds up sizes needn't make the tokens.
     """
     keys = keys or []
-    keyed = docs.where(F.size("token") > 0).withColumn("_key", order_key(seed, F.col(key)))
-    run = running(keyed, keys, ["_key", key], F.size("token"))
-    start, end = F.col("run_before"), F.col("run_before") + F.size("token")
+    size = F.col("n_tokens") if "n_tokens" in docs.columns else F.size("token")
+    keyed = docs.where(size > 0).withColumn("_key", order_key(seed, F.col(key)))
+    run = running(keyed, keys, ["_key", key], size)
+    start, end = F.col("run_before"), F.col("run_before") + size
     parts = run.withColumn("chunk_id", F.explode(F.sequence(F.floor(start / length), F.floor((end - 1) / length))))
     c0 = F.col("chunk_id") * length
     lo, hi = F.greatest(start, c0), F.least(end, c0 + length)
-    return parts.withColumn("at", (lo - c0).cast("int")).withColumn("piece", F.slice("token", (lo - start + 1).cast("int"), (hi - lo).cast("int"))).drop("_key", "run_pos", "run_before", "token")
+    return parts.withColumn("at", (lo - c0).cast("int")).withColumn("piece", F.slice("token", (lo - start + 1).cast("int"), (hi - lo).cast("int"))).drop("_key", "run_pos", "run_before", "token", "n_tokens")
 
 
 def concat_chunks(docs: DataFrame, length: int, seed: int, keys: list[str] | None = None, key: str = "doc_id") -> DataFrame:

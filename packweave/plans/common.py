@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import SEED_CORPUS, TEST_CHUNK
-from ..functions.tokens import with_eos
+from ..functions.tokens import hash_tokens, with_eos, words
 from ..operators import corpus, packing
 from ..session import table
 
@@ -30,11 +30,13 @@ def tok(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sized(spark: SparkSession, d: str) -> DataFrame:
-    return tok(spark, d).select("doc_id", "subset", "chunk_cid", F.size("token").alias("n_tokens"))
+    return docs(spark, d).select("doc_id", "subset", "chunk_cid", F.size(words(F.col("text"))).alias("n_tokens"))
 
 
 def eos_docs(spark: SparkSession, d: str) -> DataFrame:
-    return tok(spark, d).select("doc_id", "subset", with_eos(F.col("token")).alias("token"))
+    """Documents with end marks; their sizes come from the words alone, without hashing them."""
+    size = (F.size(words(F.col("text"))) + 1).alias("n_tokens")
+    return docs(spark, d).select("doc_id", "subset", size, with_eos(hash_tokens(F.col("text"))).alias("token"))
 
 
 def mix(spark: SparkSession, d: str) -> DataFrame:

@@ -31,7 +31,7 @@ def unichunk(s, d):
 
 def chunk_token_totals(s, d):
     """Per subset: full sequences, tokens in them and tokens left over."""
-    have = c.eos_docs(s, d).groupBy("subset").agg(F.sum(F.size("token")).cast("bigint").alias("all_tokens"))
+    have = c.eos_docs(s, d).groupBy("subset").agg(F.sum("n_tokens").cast("bigint").alias("all_tokens"))
     made = c.uni(s, d).groupBy("subset").agg(F.count(F.lit(1)).alias("chunks"))
     out = have.join(made, "subset", "left").fillna(0, ["chunks"])
     return out.withColumn("tokens", F.col("chunks") * c.L).withColumn("dropped", F.col("all_tokens") - F.col("tokens"))
