@@ -36,7 +36,7 @@ def vocab_counter(spark: SparkSession, vocab: DataFrame):
         one = held[0]
         return pd.Series([None if t is None else one(t) if t else 0 for t in text], dtype="Int64")
 
-    return count
+    return count.asNondeterministic()  # else a filter on the counts would count every text twice
 
 
 class SegmentSizes(dict):
@@ -101,4 +101,4 @@ def public_counter(spark: SparkSession, path: str | None = None):
                 out.append(len(model.encode(t)) if sizes is None else segment_sum(t, sizes))
         return pd.Series(out, dtype="Int64")
 
-    return count
+    return count.asNondeterministic()  # else a filter on the counts would count every text twice
