@@ -123,10 +123,16 @@ def porter_stem(word: str) -> str:
     return w
 
 
+_STEMS: dict[str, str] = {}
+_STEMS_KEPT = 500_000
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def stemmed_terms(terms: pd.Series) -> pd.Series:
-    """Stems of each row's terms, without stems of stopwords."""
-    known: dict[str, str] = {}
+    """Stems of each row's terms, without stems of stopwords. Stems are kept per process, up to _STEMS_KEPT."""
+    known = _STEMS
+    if len(known) > _STEMS_KEPT:
+        known.clear()
     stop = {porter_stem(w) for w in STOPWORDS}
     out = []
     for row in terms:

@@ -93,10 +93,15 @@ def file_ranges(rows: DataFrame, keys: list[str]) -> DataFrame:
     return counts.withColumn("behind", behind).withColumn("first", F.col("behind") - F.col("lines"))
 
 
-def locate(numbers: DataFrame, ranges: DataFrame) -> DataFrame:
-    """File and line of each global row number ``idx``, by the range it falls in; numbers outside have no row."""
-    joined = numbers.join(small(ranges), (F.col("idx") >= F.col("first")) & (F.col("idx") < F.col("behind")))
-    return joined.withColumn("line", F.col("idx") - F.col("first")).drop("first", "behind", "lines")
+def locate(numbers: DataFrame, ranges: DataFrame, block: int = 1 << 20) -> DataFrame:
+    """File and line of each global row number ``idx``, by the range it falls in; numbers outside have no row.
+
+    Ranges are laid out over blocks of numbers, so the range condition is only tried within an equal block.
+    """
+    spread = ranges.where("behind > first").withColumn("_b", F.explode(F.sequence(F.floor(F.col("first") / block), F.floor((F.col("behind") - 1) / block))))
+    asked = numbers.withColumn("_a", F.floor(F.col("idx") / block))
+    joined = asked.join(small(spread), (F.col("_a") == F.col("_b")) & (F.col("idx") >= F.col("first")) & (F.col("idx") < F.col("behind")))
+    return joined.withColumn("line", F.col("idx") - F.col("first")).drop("first", "behind", "lines", "_a", "_b")
 
 
 def id_continuity(rows: DataFrame, keys: list[str], ident: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import BATCH_ROWS, BATCHES_PER_DIR, EOS_ID, IGNORE_ID, MAX_EOS, PAD_ID
 from ..functions.tokens import eos_count, order_key
+from ..session import small
 from .ordering import running
 
 
@@ -152,6 +153,15 @@ def combine_batches(batches: DataFrame, group: list[str], order: list[str]) -> D
     return batches.withColumn("new_batch", new.cast("bigint"))
 
 
+def number_blocks(rows: DataFrame, group: list[str], blocks: list[str], seq: str, out: str) -> DataFrame:
+    """Add ``out``: gapless numbers per group over blocks whose rows are numbered 0.. by ``seq``. Only a count per block
+    goes through a window, so a group of any share of the rows stays spread out."""
+    before = Window.partitionBy(*group).orderBy(*blocks).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*group, *blocks).agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select(*group, *blocks, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    return rows.join(small(starts), [*group, *blocks]).withColumn(out, F.col("_first") + F.col(seq)).drop("_first")
+
+
 def without_gaps(batches: DataFrame, batch: str = "batch_idx") -> DataFrame:
     """Batches up to the first missing number."""
     every = Window.partitionBy(F.lit(0)).orderBy(batch)  # one row per batch

@@ -9,6 +9,7 @@ from ..config import SEED_CORPUS, SEED_RETRIEVAL
 from ..functions.text import first_line, retrieval_terms
 from ..functions.tokens import with_eos
 from ..operators import blend, corpus, evaluation, packing, retrieval_packing
+from ..session import stage
 
 STRATEGIES = ("mixchunk", "unichunk", "bm25chunk", "pad")
 
@@ -42,8 +43,8 @@ def pack(shards: DataFrame, strategy: str, config: DataFrame, length: int, n_seq
     else:
         cfg = retrieval_packing.PackingConfig(length=length, **settings)
         rows = shards.select("subset", "split", "internal_idx", "token", retrieval_terms(F.col("contents")).alias("terms"))
-        made = packing.combine_batches(retrieval_packing.retrieval_chunks(rows, cfg), ["subset"], ["split", "block", "chunk_seq"])
-        made = made.select("subset", F.col("new_batch").alias("chunk_id"), "input_ids")
+        packed = stage(retrieval_packing.retrieval_chunks(rows, cfg), "packed")  # the kernel runs once
+        made = packing.number_blocks(packed, ["subset"], ["split", "block"], "chunk_seq", "chunk_id").select("subset", "chunk_id", "input_ids")
     if n_sequences is None:
         return made
     return blend.blend(blend.blend_order(config, n_sequences, SEED_RETRIEVAL), made)

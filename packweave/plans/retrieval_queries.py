@@ -8,6 +8,7 @@ from ..config import TEST_BUFFER, TEST_QUERY_TERMS
 from ..functions.text import MARKED, PLAIN, STOPWORDS, retrieval_terms, stemmed_terms
 from ..functions.tokens import joined
 from ..operators import retrieval, retrieval_packing
+from ..session import stage
 from . import common as c
 
 K = 10
@@ -45,7 +46,7 @@ def query_term_cap(s, d):
 
 
 def _search(s, d, method="bm25", stem=False, restricted=False):
-    rows = collection(s, d, stem)
+    rows = stage(collection(s, d, stem), "terms")  # texts are read and cut into terms once
     cand = None
     if restricted:  # documents of the query's own source chunk
         q = rows.where(F.col("doc") % EVERY == 0).select("shard", F.col("doc").alias("query"), "chunk_cid")

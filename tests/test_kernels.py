@@ -258,3 +258,18 @@ def test_document_pairs_equal_the_loop(spark):
         want.append(head[-20:] + t[:10])
         head = []
     assert got == want
+
+
+def test_blocks_are_numbered_without_gaps(spark):
+    rows = [("a", b, k) for b, n in ((0, 3), (2, 5), (7, 1)) for k in range(n)] + [("b", 1, 0)]
+    df = spark.createDataFrame(rows, "g string, b int, k int").repartition(4)
+    out = packing.number_blocks(df, ["g"], ["b"], "k", "n").orderBy("g", "b", "k").collect()
+    assert [r.n for r in out] == [*range(9), 0]
+
+
+def test_locate_for_any_block(spark):
+    ranges = spark.createDataFrame([("a", 0, 3, 3), ("b", 3, 3, 0), ("c", 3, 40, 37)], "f string, first long, behind long, lines long")
+    want = {i: ("a", i) if i < 3 else ("c", i - 3) for i in range(40)}
+    for block in (1, 4, 1 << 20):
+        rows = corpus.locate(spark.range(-2, 45).withColumnRenamed("id", "idx"), ranges, block).collect()
+        assert {r.idx: (r.f, r.line) for r in rows} == want and len(rows) == 40
