@@ -223,7 +223,7 @@ SQL = {
     "blend_quota": c.with_(_ORDER) + "SELECT subset_idx, subset, quota FROM q",
     "blend_order": c.with_(_ORDER) + "SELECT pos, subset_idx, subset, occ FROM bl",
     "blend_join": c.with_(c.DOCS, c.TOK, c.EOS, c.UNI, _ORDER)
-    + ", j AS (SELECT bl.*, u.ids FROM bl LEFT JOIN uni u ON u.subset = bl.subset AND u.chunk_id = bl.occ) SELECT pos, subset, occ, array_to_string(ids, ',') AS ids FROM j WHERE pos < coalesce((SELECT min(pos) FROM j WHERE ids IS NULL), 1 << 40)",
+    + ", j AS (SELECT bl.*, u.ids FROM bl LEFT JOIN uni u ON u.subset = bl.subset AND u.chunk_id = bl.occ) SELECT pos, subset, occ, array_to_string(ids, ',') AS ids FROM j WHERE pos < coalesce((SELECT min(pos) FROM j WHERE ids IS NULL), 1000000000000)",
     "blend_workers": c.with_(c.DOCS, c.TOK, c.EOS, c.UNI, _ORDER)
     + ", j AS (SELECT bl.*, CAST(pos % 4 AS INTEGER) AS worker, u.ids FROM bl LEFT JOIN uni u ON u.subset = bl.subset AND u.chunk_id = bl.occ), e AS (SELECT worker, min(pos) AS stop FROM j WHERE ids IS NULL GROUP BY 1) "
     "SELECT worker, pos, subset, occ FROM j LEFT JOIN e USING (worker) WHERE stop IS NULL OR pos < stop",
