@@ -3,9 +3,10 @@
 1. Both sides become word lists: case, punctuation, markup, line prefixes and line breaks are put aside.
 2. Seeds: word n-grams (Karp-Rabin hashes) that a row shares with an item are joined. A passage with few altered words
    keeps a known least number of n-grams within a narrow band of offsets, so pairs below that number are out, exactly.
-3. Tiling: for each pair left, the longest common runs of words are marked again and again, none overlapping another.
-4. Tiles in the same order with small gaps are chained into passages, within the allowed share of altered words; the
-   share of the item under any tiles is its coverage, which also shows reordered passages.
+3. Passages: for each pair left, banded edit distance to both sides of each common run of words gives the longest
+   passage within the allowed share of altered words, exactly.
+4. Tiling: the longest common runs of words are marked again and again, none overlapping another; the share of the item
+   under any tiles is its coverage, which also shows reordered passages.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ COVERAGE = 0.5
 #: Held-out items go to the executors in blocks of at most about so many characters each; each block scans the corpus.
 BLOCK_CHARS = 16 << 20
 CHUNK_WORDS = 100_000
+#: Numbers held at once for the runs of a pair.
+PASSAGE_CELLS = 1 << 20
 
 #: Ids pass Python as strings, so nulls and large numbers stay exact.
 LEAKS = "row_id string, eval_id string, item_words int, passage_words int, altered int, passage_start int, coverage double, passage boolean"
@@ -67,6 +70,11 @@ def words_needed(n: int) -> int:
     return PASSAGE_WORDS if n >= 60 else min(PASSAGE_WORDS, -(-2 * n // 3))
 
 
+def passage_lengths(need: int, n: int) -> range:
+    """Lengths of the passages of an item with ``n`` words that hold no shorter one: a longer one can be halved."""
+    return range(need, min(2 * need - 1, n) + 1)
+
+
 def seeds_kept(need: int, k: int) -> int:
     """Least number of k-grams left in a passage of ``need`` words with one word in ALTERED altered."""
     return need - k + 1 - k * (need // ALTERED)
@@ -146,11 +154,10 @@ def candidates(index: ItemIndex, ids: np.ndarray, row: np.ndarray) -> np.ndarray
     return np.stack([pairs // n_items, pairs % n_items], axis=1)
 
 
-def tiles(a: np.ndarray, b: np.ndarray, least: int = MIN_TILE) -> list[tuple[int, int, int]]:
-    """Greedy string tiling of word numbers ``a`` and ``b``: (start in a, start in b, length), none overlapping.
+def runs(a: np.ndarray, b: np.ndarray, least: int = MIN_TILE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All runs of at least ``least`` equal words that can't grow, as starts in ``a``, starts in ``b`` and lengths.
 
-    Runs of equal words are found by joining Karp-Rabin hashes of ``least`` words and lining up neighbours on a
-    diagonal. The longest run is marked first; runs that it cuts into go back with what is left of them.
+    Karp-Rabin hashes of ``least`` words are joined and neighbours on a diagonal lined up.
     """
     ha, hb = _grams(a, least), _grams(b, least)
     order = np.argsort(hb, kind="stable")
@@ -159,18 +166,25 @@ def tiles(a: np.ndarray, b: np.ndarray, least: int = MIN_TILE) -> list[tuple[int
     reps = np.where(ha != 0, hi - lo, 0)
     pa = np.repeat(np.arange(len(ha)), reps)
     if not len(pa):
-        return []
+        return pa, pa, pa
     pb = order[np.repeat(lo, reps) + np.arange(len(pa)) - np.repeat(np.cumsum(reps) - reps, reps)]
     o = np.lexsort((pa, pb - pa))
     pa, pb = pa[o], pb[o]
     new = np.flatnonzero(np.r_[True, (np.diff(pb - pa) != 0) | (np.diff(pa) != 1)])
-    size = np.diff(np.r_[new, len(pa)]) + least - 1
+    return pa[new], pb[new], np.diff(np.r_[new, len(pa)]) + least - 1
+
+
+def tiles(a: np.ndarray, b: np.ndarray, least: int = MIN_TILE) -> list[tuple[int, int, int]]:
+    """Greedy string tiling of word numbers ``a`` and ``b``: (start in a, start in b, length), none overlapping.
+
+    The longest run of equal words is marked first; runs that it cuts into go back with what is left of them.
+    """
     by_size: dict[int, list[tuple[int, int]]] = {}
-    for x, y, n in zip(pa[new].tolist(), pb[new].tolist(), size.tolist(), strict=True):
+    for x, y, n in zip(*(v.tolist() for v in runs(a, b, least)), strict=True):
         by_size.setdefault(n, []).append((x, y))
     free_a, free_b = np.ones(len(a), bool), np.ones(len(b), bool)
     out = []
-    n = max(by_size)
+    n = max(by_size, default=0)
     while n >= least:
         for x, y in sorted(by_size.pop(n, [])):
             ok = free_a[x : x + n] & free_b[y : y + n]
@@ -188,54 +202,88 @@ def tiles(a: np.ndarray, b: np.ndarray, least: int = MIN_TILE) -> list[tuple[int
     return sorted(out)
 
 
-def longest_passage(parts: list[tuple[int, int, int]], altered: int = ALTERED) -> tuple[int, int, int, int, int]:
-    """(start in the row, start in the item, end in the row, end in the item, altered words) of the longest chain of tiles in the order of both texts, with at
-    most one word in ``altered`` altered or added within it."""
-    best = (0, 0, 0, 0, 0)
-    for i, (x0, y0, n0) in enumerate(parts):
-        x, y, edits = x0 + n0, y0 + n0, 0
-        if n0 > best[3] - best[1]:
-            best = (x0, y0, x, y, 0)
-        j = i + 1
-        while j < len(parts):
-            pick = None
-            for m in range(j, min(j + 12, len(parts))):
-                gx, gy = parts[m][0] - x, parts[m][1] - y
-                if gx >= 0 and gy >= 0 and (pick is None or max(gx, gy) < pick[0]):
-                    pick = (max(gx, gy), m)
-            if pick is None or pick[0] > 40:
-                break
-            edits += pick[0]
-            px, py, pn = parts[pick[1]]
-            x, y, j = px + pn, py + pn, pick[1] + 1
-            if edits * altered <= y - y0 > best[3] - best[1]:
-                best = (x0, y0, x, y, edits)
+def _reach(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, most: int, far: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least edits (up to ``most``) of b[y:y + t] against a stretch of ``a`` from x on that ends in an equal word, for
+    each start and t up to ``far``, and how many words more than t the stretch has."""
+    d = np.arange(-most, most + 1)
+    much = most + 1
+    cost = np.where((d >= 0) & (x[:, None] + d <= len(a)), d, much)
+    edits, shift = np.full((len(x), far + 1), much), np.full((len(x), far + 1), most)
+    edits[:, 0] = 0
+    every = np.arange(len(x))
+    for t in range(1, far + 1):
+        at = x[:, None] + d + (t - 1)
+        inside = (y + t <= len(b))[:, None]
+        equal = inside & (at >= 0) & (at < len(a))
+        equal &= a[np.clip(at, 0, len(a) - 1)] == b[np.minimum(y + t, len(b)) - 1][:, None]
+        met = np.where(equal, cost, much)
+        shift[:, t] = met.argmin(axis=1)
+        edits[:, t] = met[every, shift[:, t]]
+        left_out = np.concatenate([cost[:, 1:], np.full((len(x), 1), much)], axis=1) + 1
+        cost = np.minimum(np.where(equal, cost, cost + 1), left_out)
+        cost = np.minimum.accumulate(cost - d, axis=1) + d
+        cost = np.where(inside & (at < len(a)), np.minimum(cost, much), much)
+        if cost.min() >= much:
+            break
+    return edits, shift - most
+
+
+def _through(a: np.ndarray, b: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray], far: int, altered: int) -> np.ndarray:
+    """(item words, altered words, start in a) of the longest passage through each of the runs ``found``, exact up to
+    ``far`` item words."""
+    x, y, n = found
+    most = far // altered
+    right, _ = _reach(a, b, x + n, y + n, most, far)
+    left, shift = _reach(a[::-1], b[::-1], len(a) - x, len(b) - y, most, far)
+    t, e = np.arange(far + 1), np.arange(most + 1)
+    # furthest words on either side within each number of edits
+    r, s = (np.stack([np.where(v <= k, t, 0).max(axis=1) for k in e], axis=1) for v in (right, left))
+    span = n[:, None, None] + r[:, :, None] + s[:, None, :]
+    span = np.where((e[:, None] + e) * altered <= span, span, 0).reshape(len(n), -1)
+    pick = span.argmax(axis=1)  # of equal spans the one with fewer edits on the right, then on the left
+    every = np.arange(len(n))
+    tr, tl = r[every, pick // len(e)], s[every, pick % len(e)]
+    return np.stack([span[every, pick], right[every, tr] + left[every, tl], x - tl - shift[every, tl]], axis=1)
+
+
+def longest_passage(a: np.ndarray, b: np.ndarray, need: int, found: tuple[np.ndarray, np.ndarray, np.ndarray], altered: int = ALTERED) -> tuple[int, int, int]:
+    """(item words, altered words, start in a) of the longest stretch of ``b`` that stands in ``a`` from one equal word
+    to another with at most one word in ``altered`` altered, added or left out, by edit distance.
+
+    It is looked for through each of the common runs ``found``, taken whole, at first up to 2 * need words. A passage of
+    that length or more has a half that is a passage too, so only runs in so long a passage are looked at further.
+    """
+    x, y, n = found
+    best, far = (0, 0, 0), 2 * need
+    while len(x):
+        far = min(far, len(b))
+        many = max(1, PASSAGE_CELLS // ((far // altered + 1) ** 2 + 3 * far))
+        got = np.concatenate([_through(a, b, (x[i : i + many], y[i : i + many], n[i : i + many]), far, altered) for i in range(0, len(x), many)])
+        best = max(best, *map(tuple, got.tolist()), key=lambda v: (v[0], -v[1]))
+        if far == len(b):
+            break
+        own = 2 * got[:, 0] >= far
+        x, y, n, far = x[own], y[own], n[own], 4 * far
     return best
 
 
-def stretch_ends(a: np.ndarray, b: np.ndarray, x0: int, y0: int, x1: int, y1: int, edits: int, altered: int = ALTERED) -> tuple[int, int, int]:
-    """Let a passage a[x0:x1] ~ b[y0:y1] grow at both ends over single altered, added or left-out words behind which
-    equal words follow, too few for a tile. Gives (item words, altered words, start in a)."""
+def passage_runs(found: tuple[np.ndarray, np.ndarray, np.ndarray], need: int, n_item: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The common runs through which a passage can go.
 
-    def run(x: int, y: int, step: int) -> int:
-        n = 0
-        while 0 <= x < len(a) and 0 <= y < len(b) and a[x] == b[y]:
-            n, x, y = n + 1, x + step, y + step
-        return n
-
-    for step in (1, -1):
-        while True:
-            x, y = (x1, y1) if step > 0 else (x0 - 1, y0 - 1)
-            got, dx, dy = max((run(x + dx * step, y + dy * step, step), dx, dy) for dx, dy in ((1, 1), (1, 0), (0, 1)))
-            span = y1 - y0 + dy + got
-            if not got or (edits + 1) * altered > span:
-                break
-            edits += 1
-            if step > 0:
-                x1, y1 = x1 + dx + got, y1 + dy + got
-            else:
-                x0, y0 = x0 - dx - got, y0 - dy - got
-    return y1 - y0, edits, x0
+    A passage of m words with e altered has a run of at least (m - e) / (e + 1) words, which is over 3 if e is not 0. The
+    altered words leave at most two words each in runs under MIN_TILE, so m - 3 * e are in other runs near this one.
+    """
+    x, y, n = found
+    lengths = passage_lengths(need, n_item)
+    least = min(m - MIN_TILE * (m // ALTERED) for m in lengths)
+    own = np.flatnonzero(n >= min(ALTERED // 2, need))
+    if n.sum() < least:
+        own = own[:0]
+    elif len(own) * len(n) <= PASSAGE_CELLS:
+        near = np.abs((y - x) - (y - x)[own, None]) <= lengths[-1] // ALTERED
+        near &= (y < (y + n)[own, None] + lengths[-1]) & (y + n > y[own, None] - lengths[-1])
+        own = own[(near * n).sum(axis=1) >= least]
+    return x[own], y[own], n[own]
 
 
 def find_leaks(corpus: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -271,11 +319,16 @@ def _leaks_of_block(corpus: DataFrame, block: list[tuple[str | None, str]]) -> D
         out = []
         for r, i in candidates(index, ids, row).tolist():
             item = index.words[i]
-            found = tiles(lists[r], item)
-            cover = sum(n for _, _, n in found) / len(item)
-            x0, y0, x1, y1, edits = longest_passage(found)
-            span, altered, start = stretch_ends(lists[r], item, x0, y0, x1, y1, edits) if y1 else (0, 0, 0)
-            passage = span >= int(index.need[i])
+            need = int(index.need[i])
+            common = runs(lists[r], item, min(MIN_TILE, need))
+            through = passage_runs(common, need, len(item))
+            if not len(through[0]) and common[2].sum() < COVERAGE * len(item):
+                continue
+            span, altered, start = longest_passage(lists[r], item, need, through)
+            passage = span >= need
+            cover = sum(n for _, _, n in tiles(lists[r], item)) / len(item)
+            if cover >= COVERAGE and not passage:
+                span, altered, start = longest_passage(lists[r], item, need, common)
             if passage or cover >= COVERAGE:
                 out.append((rows[r], index.eval_id[i], len(item), span, altered, start, round(cover, 6), passage))
         return out

@@ -169,6 +169,57 @@ def test_candidates_lose_no_passage(seed, n, skip):
     assert [0, 0] in leakage.candidates(index, ids, np.zeros(len(ids), np.int64)).tolist()
 
 
+def test_intact_words_between_altered_ones_count(spark):
+    """Runs of one or two equal words between altered words belong to the passage."""
+    item = words(100, 4)
+    cases = {
+        1: [w if i not in (12, 14, 27, 29) else "zz" for i, w in enumerate(item[20:60])],  # 4 of 40
+        2: [w if i not in (2, 4, 6, 33) else "zz" for i, w in enumerate(item[20:55])],  # 4 of 35
+        3: [w if i not in (10, 11, 22, 24) else "zz" for i, w in enumerate(item[20:52])] + ["q"],  # 4 of 32
+        4: [w if i not in (2, 12, 14, 27, 29) else "zz" for i, w in enumerate(item[20:59])],  # 5 of 39
+    }
+    corpus = spark.createDataFrame([(i, " ".join(w)) for i, w in cases.items()], "row_id long, contents string")
+    items = spark.createDataFrame([(7, " ".join(item))], "eval_id long, text string")
+    got = {r.row_id: (r.passage_words, r.altered, r.passage_start) for r in leakage.find_leaks(corpus, items).where("passage").collect()}
+    # of 5 in 39 the words behind the first altered one are 4 in 36
+    assert got == {1: (40, 4, 0), 2: (35, 4, 0), 4: (36, 4, 3)}
+
+
+def slow_passage(a, b):
+    """Item words of the longest passage, by edit distance from every pair of equal words."""
+    best = 0
+    for x in range(len(a)):
+        for y in range(len(b)):
+            if a[x] != b[y]:
+                continue
+            cost = {(0, 0): 0}
+            best = max(best, 1)
+            for i in range(len(a) - x):
+                for j in range(len(b) - y):
+                    if i and j:
+                        equal = a[x + i] == b[y + j]
+                        if equal and cost[i - 1, j - 1] * 8 <= j + 1:
+                            best = max(best, j + 1)
+                        cost[i, j] = min(cost[i - 1, j - 1] + (not equal), cost[i - 1, j] + 1, cost[i, j - 1] + 1)
+                    elif i or j:
+                        cost[i, j] = i + j
+    return best
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.integers(9, 24))
+def test_longest_passage_as_by_edit_distance(seed, n):
+    r = random.Random(seed)
+    b, a = list(range(n)), [-1] * r.randint(0, 3)
+    for w in b:
+        u = r.random()
+        a += [-1] if u < 0.07 else [w, -1] if u < 0.11 else [] if u < 0.14 else [w]
+    need, right = leakage.words_needed(n), slow_passage(a, b)
+    a, b = np.array(a, np.int64), np.array(b, np.int64)
+    got = leakage.longest_passage(a, b, need, leakage.passage_runs(leakage.runs(a, b), need, n))[0]
+    assert got == right if right >= need else got < need
+
+
 # ---- personal data
 
 NAMES = [(g, "given") for g in ("Anna", "Rose", "May")] + [(h + t, "family") for h in ("Kelv", "Marn", "Tross", "Bolv") for t in ("ander", "etti", "quist", "oveski")][:-1]
