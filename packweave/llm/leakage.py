@@ -2,7 +2,8 @@
 
 1. Both sides become word lists: case, punctuation, markup, line prefixes and line breaks are put aside.
 2. Seeds: word n-grams (Karp-Rabin hashes) that a row shares with an item are joined. A passage with few altered words
-   keeps a known least number of n-grams within a narrow band of offsets, so pairs below that number are out, exactly.
+   keeps a known least number of n-grams within a narrow band of offsets, whatever its length, so pairs below that number
+   hold no passage. For coverage alone, a pair must share half of the item's n-grams, which is stricter than its tiles.
 3. Passages: for each pair left, banded edit distance to both sides of each common run of words gives the longest
    passage within the allowed share of altered words, exactly.
 4. Tiling: the longest common runs of words are marked again and again, none overlapping another; the share of the item
@@ -29,6 +30,8 @@ MIN_TILE = 3
 ALTERED = 8
 PASSAGE_WORDS = 35
 COVERAGE = 0.5
+#: Most altered words of a passage of under 2 * PASSAGE_WORDS words.
+BAND = (2 * PASSAGE_WORDS - 1) // ALTERED
 #: Held-out items go to the executors in blocks of at most about so many characters each; each block scans the corpus.
 BLOCK_CHARS = 16 << 20
 CHUNK_WORDS = 100_000
@@ -80,6 +83,11 @@ def seeds_kept(need: int, k: int) -> int:
     return need - k + 1 - k * (need // ALTERED)
 
 
+def least_seeds(need: int, n: int, k: int) -> int:
+    """Least number of k-grams left in any passage of an item with ``n`` words; a longer passage may keep fewer."""
+    return min(seeds_kept(m, k) for m in passage_lengths(need, n))
+
+
 def _grams(ids: np.ndarray, k: int) -> np.ndarray:
     """Karp-Rabin hashes of all k-grams; 0 where a gram holds an unknown word (-1)."""
     n = len(ids) - k + 1
@@ -105,9 +113,10 @@ class ItemIndex:
         self.length = np.array([len(w) for w in self.words], np.int64)
         self.need = np.array([words_needed(int(n)) for n in self.length], np.int64)
         best = [min(SEED_WORDS, int(n)) for n in self.need]
-        while any(bad := [seeds_kept(int(n), k) < 1 for n, k in zip(self.need, best, strict=True)]):
+        sizes = list(zip(self.need.tolist(), self.length.tolist(), strict=True))
+        while any(bad := [least_seeds(*n, k) < 1 for n, k in zip(sizes, best, strict=True)]):
             best = [k - b for k, b in zip(best, bad, strict=True)]
-        self.least = np.array([seeds_kept(int(n), k) for n, k in zip(self.need, best, strict=True)], np.int64)
+        self.least = np.array([least_seeds(*n, k) for n, k in zip(sizes, best, strict=True)], np.int64)
         self.by_k = {}
         for k in sorted(set(best)):
             own = [i for i, b in enumerate(best) if b == k]
@@ -138,9 +147,9 @@ def candidates(index: ItemIndex, ids: np.ndarray, row: np.ndarray) -> np.ndarray
         post = np.repeat(first[at[hit]], reps) + inner
         it, ep = item[post], pos[post]
         pair = row[src] * n_items + it
-        # offsets in bands of 10, every 5: the offsets of one passage span at most 5
-        band = (ep - src + len(ids)) // 5
-        wide = 2 * len(ids) // 5 + 400
+        # offsets in bands of 2 * BAND, every BAND: those of one passage differ by no more than its altered words
+        band = (ep - src + len(ids)) // BAND
+        wide = 2 * len(ids) // BAND + 400
         for shift in (0, 1):
             key, c = np.unique(pair * wide + (band + shift) // 2 * 2, return_counts=True)
             own = key // wide

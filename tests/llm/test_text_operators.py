@@ -220,6 +220,30 @@ def test_longest_passage_as_by_edit_distance(seed, n):
     assert got == right if right >= need else got < need
 
 
+@pytest.mark.parametrize(("n", "part", "changed"), [(34, 24, (5, 11, 17)), (10, 10, (4,)), (9, 8, (3,)), (60, 40, (7, 15, 20, 25, 32))])
+def test_passage_beyond_the_needed_length_is_a_candidate(n, part, changed):
+    """A passage over the next multiple of eight may have one more word altered and keep fewer seeds."""
+    item = words(n, 6)
+    index = leakage.ItemIndex([(1, " ".join(item))])
+    row = ["q"] * 7 + [w if i not in changed else "zz" for i, w in enumerate(item[:part])] + ["q"] * 7
+    ids = np.array([index.vocab.get(w, -1) for w in row], np.int64)
+    assert [0, 0] in leakage.candidates(index, ids, np.zeros(len(ids), np.int64)).tolist()
+    need = int(index.need[0])
+    assert leakage.longest_passage(ids, index.words[0], need, leakage.runs(ids, index.words[0], min(3, need)))[0] == part
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 120))
+def test_candidates_lose_no_passage_of_any_length(seed, n):
+    r, item = random.Random(seed), words(n, seed)
+    index = leakage.ItemIndex([(1, " ".join(item))])
+    part = item[: r.randint(int(index.need[0]), n)]
+    for i in sorted(r.sample(range(len(part)), len(part) // 8), reverse=True):
+        part[i : i + 1] = r.choice((["zz"], ["zz", part[i]], []))
+    ids = np.array([index.vocab.get(w, -1) for w in ["q"] * r.randint(0, 9) + part] + [-1] * 5, np.int64)
+    assert [0, 0] in leakage.candidates(index, ids, np.zeros(len(ids), np.int64)).tolist()
+
+
 # ---- personal data
 
 NAMES = [(g, "given") for g in ("Anna", "Rose", "May")] + [(h + t, "family") for h in ("Kelv", "Marn", "Tross", "Bolv") for t in ("ander", "etti", "quist", "oveski")][:-1]
