@@ -149,7 +149,7 @@ def candidates(index: ItemIndex, ids: np.ndarray, row: np.ndarray) -> np.ndarray
         pair = row[src] * n_items + it
         # offsets in bands of 2 * BAND, every BAND: those of one passage differ by no more than its altered words
         band = (ep - src + len(ids)) // BAND
-        wide = 2 * len(ids) // BAND + 400
+        wide = (len(ids) + int(index.length.max())) // BAND + 3
         for shift in (0, 1):
             key, c = np.unique(pair * wide + (band + shift) // 2 * 2, return_counts=True)
             own = key // wide

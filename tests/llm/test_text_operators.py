@@ -244,6 +244,13 @@ def test_candidates_lose_no_passage_of_any_length(seed, n):
     assert [0, 0] in leakage.candidates(index, ids, np.zeros(len(ids), np.int64)).tolist()
 
 
+def test_late_passage_of_a_very_long_item_is_a_candidate():
+    item = words(9000, 8)
+    index = leakage.ItemIndex([(1, " ".join(item)), (2, " ".join(words(70, 9)))])
+    ids = np.array([index.vocab[w] for w in item[8900:8940]] + [-1] * 5, np.int64)
+    assert leakage.candidates(index, ids, np.zeros(len(ids), np.int64)).tolist() == [[0, 0]]
+
+
 # ---- personal data
 
 NAMES = [(g, "given") for g in ("Anna", "Rose", "May")] + [(h + t, "family") for h in ("Kelv", "Marn", "Tross", "Bolv") for t in ("ander", "etti", "quist", "oveski")][:-1]
