@@ -60,7 +60,7 @@ STATISTICS = (
 PROSE_SHARE = 0.5
 #: Documents from which the prose of a language is fitted have at least this share.
 CORE_SHARE = 0.8
-#: A language with fewer such documents is measured against the prose of all languages.
+#: Each language's mean and covariance are drawn towards those of all languages as by so many documents of these.
 MIN_CORE = 50
 #: Squared distances beyond this quantile of the chi-squared distribution mark outliers.
 QUANTILE_Z = 3.09  # 0.999
@@ -352,7 +352,8 @@ def fit_prose(measured: DataFrame, steps: int = STEPS) -> ProseModel:
         if not totals:
             break
         everything = [sum(t[a] for t in totals.values()) for a in range(3)]
-        totals = {lang: t for lang, t in totals.items() if t[0] >= MIN_CORE}
+        pull = MIN_CORE / everything[0]
+        totals = {lang: [a + pull * b for a, b in zip(t, everything, strict=True)] for lang, t in totals.items()}
         totals[""] = everything
         center, inverse = {}, {}
         for lang, (n, s, m) in totals.items():

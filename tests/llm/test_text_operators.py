@@ -71,6 +71,19 @@ def test_robust_fit_matches_numpy(spark):
     assert np.allclose(model.contributions(pd.Series(["en"] * 400), x).sum(axis=1), want)
 
 
+def test_fit_of_a_language_changes_smoothly_with_its_count(spark):
+    rng = np.random.default_rng(2)
+    k = len(quality.STATISTICS)
+    x, y = rng.normal(0.95, 0.001, (200, k)), rng.normal(0.85, 0.001, (50, k))
+
+    def center(n):
+        rows = [(i, lang, False, *map(float, v)) for i, (lang, v) in enumerate([("en", v) for v in x] + [("fi", v) for v in y[:n]])]
+        model = quality.fit_prose(spark.createDataFrame(rows, quality.MEASURED), steps=1)
+        return model.center.get("fi", model.center[""])
+
+    assert np.abs(center(50) - center(49)).max() < 0.005
+
+
 # ---- leakage
 
 
