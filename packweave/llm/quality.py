@@ -15,7 +15,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import stage, table
 
@@ -47,21 +46,26 @@ WORD_CLASSES = {
 }
 #: Class strings of neighbours that sentences don't have.
 ODD_NEIGHBOURS = "dp|dc|dd|da|dt|pp|pa|pt|cc|tp|tc|tt"
-#: From this share of odd neighbours on, or below the share of function words, words are shuffled or strung together.
-ODD_LIMIT = 0.008
+#: Least share of function words in a running sentence.
 LEAST_COMMON = {"en": 0.25}
 LEAST_COMMON_ELSE = 0.12
 
 STATISTICS = (
     "log_words", "word_length", "symbol_ratio", "digit_ratio", "punctuated_lines", "common_words", "sentence_share",
-    "log_line_length", "repeated_share", "bullet_lines", "odd_neighbours", "odd_characters",
+    "log_line_length", "repeated_share", "bullet_share", "odd_neighbours", "odd_characters",
 )
-#: At or above this share of characters in running sentences a document counts as prose.
-PROSE_SHARE = 0.5
-#: Documents from which the prose of a language is fitted have at least this share.
-CORE_SHARE = 0.8
+#: The side of each statistic on which text is less like prose; 0: it tells the size of a text, not its kind.
+ADVERSE = (0, 0, 1, 1, -1, -1, -1, 0, 1, 1, 1, 1)
+#: Statistics that prose of every language has alike; the fit starts from these.
+NEUTRAL = tuple(i for i, s in enumerate(STATISTICS) if ADVERSE[i] and s not in ("symbol_ratio", "digit_ratio", "common_words"))
+#: Below this share of characters in running sentences a text is looked through for program code.
+CODE_BELOW = 0.8
 #: Each language's mean and covariance are drawn towards those of all languages as by so many documents of these.
-MIN_CORE = 50
+PULL = 20
+#: A statistic's deviation in prose counts as at least this part of its deviation over all documents.
+LEAST_SCALE = 0.3
+#: Smaller differences of a statistic tell nothing.
+RESOLUTION = 0.003
 #: Squared distances beyond this quantile of the chi-squared distribution mark outliers.
 QUANTILE_Z = 3.09  # 0.999
 REWEIGHT_Z = 1.96  # 0.975
@@ -205,7 +209,7 @@ def measure(text: str) -> tuple[str, bool, list[float]] | None:
 
     lines = [x for x in text.split("\n") if x and not x.isspace()]
     seen: dict[str, int] = {}
-    running = repeated = total = odd = pairs = common_pairs = 0
+    running = repeated = total = odd = pairs = 0
     for p in paragraphs(plain, wide > 0):
         after = False
         for s in sentences(p):
@@ -241,7 +245,6 @@ def measure(text: str) -> tuple[str, bool, list[float]] | None:
                 if not numbers:  # else words stand apart that are no neighbours
                     odd += len(_ODD_PAIR.findall(code_word))
                     pairs += n
-                    common_pairs += known
                 if w_letters > 14 * n or ended is False and n < 8:
                     continue
                 if n < 8:
@@ -259,16 +262,13 @@ def measure(text: str) -> tuple[str, bool, list[float]] | None:
     symbols = max(0, dense_all - letters - digits)
     odd_share = odd / max(pairs, 1)
     share = min(1.0, running / max(total + len(seen), 1))
-    if pairs >= 20 and (odd_share > ODD_LIMIT or common_pairs < 1.2 * least * pairs):
-        # shuffled or strung-together words: sentences that seem right are chance
-        share *= 0.3
-    code_size = sum(len(x) for x in lines if is_code(x)) if share < CORE_SHARE else 0
+    code_size = sum(len(x) for x in lines if is_code(x)) if share < CODE_BELOW else 0
     code = code_size > 0.5 * max(1.0, (1 - share) * size) and code_size > 0.15 * size
     values = [
         math.log10(n_words + 1), letters / max(n_words, 1) if language != "zh" else 2.0, symbols / size, digits / size,
         sum(map(ends_sentence, map(str.rstrip, lines))) / len(lines), common, share,
         math.log10(1 + (size - len(lines)) / len(lines)), repeated / max(total, 1),
-        sum(1 for x in lines if _BULLET.match(x)) / len(lines), odd_share, odd_size / size,
+        min(1 - share, sum(len(x) for x in lines if _BULLET.match(x)) / size), odd_share, odd_size / size,
     ]
     return language, code, values
 
@@ -294,6 +294,11 @@ def chi_squared(dims: int, z: float) -> float:
     return dims * (1 - 2 / (9 * dims) + z * (2 / (9 * dims)) ** 0.5) ** 3
 
 
+def chi_squared_below(dims: int, x: float) -> float:
+    """Probability of a chi-squared value of at most ``x``; ``dims`` is even."""
+    return 1 - math.exp(-x / 2) * sum((x / 2) ** i / math.factorial(i) for i in range(dims // 2))
+
+
 class ProseModel:
     """Robust mean and inverse covariance of prose by language; ``""`` is that of all languages."""
 
@@ -302,86 +307,132 @@ class ProseModel:
 
     def contributions(self, language: pd.Series, x: np.ndarray) -> np.ndarray:
         """(documents, statistics): each statistic's part of the squared distance; rows add up to it."""
-        out = np.zeros_like(x)
+        return self.parts(language, x)[0]
+
+    def parts(self, language: pd.Series, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The contributions, and for each document the sum of those on the adverse side of prose."""
+        out, worse = np.zeros_like(x), np.zeros(len(x))
         if not self.center:
-            return out
+            return out, worse
         which = language.where(language.isin(list(self.center)), "").to_numpy()
         for lang in np.unique(which):
             own = which == lang
             if lang in self.center:
                 d = x[own] - self.center[lang]
                 out[own] = d * (d @ self.inverse[lang])
-        return out
+                worse[own] = np.where(d * np.array(ADVERSE) > 0, out[own], 0.0).sum(axis=1)
+        return out, worse
+
+
+def _matrix(values: pd.Series) -> np.ndarray:
+    return np.array(values.tolist(), float).reshape(len(values), len(STATISTICS))
 
 
 def _distance_udf(model: ProseModel):
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def contributions(language: pd.Series, values: pd.Series) -> pd.Series:
-        x = np.array(values.tolist(), float).reshape(len(values), len(STATISTICS))
-        return pd.Series(list(model.contributions(language, x)))
+    @F.pandas_udf("parts array<double>, adverse double")
+    def distance(language: pd.Series, values: pd.Series) -> pd.DataFrame:
+        parts, worse = model.parts(language, _matrix(values))
+        return pd.DataFrame({"parts": list(parts), "adverse": worse})
+
+    return distance
+
+
+SUMS = "language string, place int, amount double"
 
-    return contributions
+
+def _core_sums(measured: DataFrame, kept) -> dict[str, tuple[float, np.ndarray, np.ndarray]]:
+    """Count, sums and products of the statistics by language, over the documents that ``kept`` picks (a function of
+    their languages and statistics). A task hands over one set of sums per language, and only totals reach the driver."""
+    k = len(STATISTICS)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            x = _matrix(batch["v"])
+            own = kept(batch["language"], x)
+            x, languages = x[own], batch["language"].to_numpy()[own]
+            for lang in set(languages.tolist()):
+                y = x[languages == lang]
+                held[lang] = held.get(lang, 0) + np.concatenate([[len(y)], y.sum(axis=0), (y.T @ y).ravel()])
+        rows = [(lang, i, v) for lang, sums in held.items() for i, v in enumerate(sums.tolist())]
+        yield pd.DataFrame(rows, columns=["language", "place", "amount"])
+
+    values = F.array(*[F.col(s) for s in STATISTICS]).alias("v")
+    sums = measured.where(~F.col("code")).select("language", values).mapInPandas(run, SUMS).groupBy("language", "place").agg(F.sum("amount").alias("amount"))
+    flat: dict[str, np.ndarray] = {}
+    for r in sums.collect():  # a fixed number of languages and places
+        flat.setdefault(r["language"], np.zeros(1 + k + k * k))[r["place"]] = r["amount"]
+    return {lang: (v[0], v[1 : k + 1], v[k + 1 :].reshape(k, k)) for lang, v in sorted(flat.items())}
 
 
 def fit_prose(measured: DataFrame, steps: int = STEPS) -> ProseModel:
-    """Fit by reweighting: mean and covariance over the core of all documents, then of those within the 0.975 quantile.
+    """Robust mean and covariance of prose per language, in concentration steps.
 
-    ``measured`` is read once per step and only sums per language leave the executors: count, sums and products of
-    the statistics. There is a row per language, of which ``measure`` knows a fixed number.
+    The start is the documents near the median of all documents, by median absolute deviations, in the statistics that
+    prose of all languages has alike; it holds as long as most documents are prose. Each step takes mean and covariance
+    of the documents kept before and keeps those within the 0.975 quantile of the new distance; the covariance makes
+    up for what the cut leaves out. A language is drawn towards all languages as by PULL documents, so a rare one
+    changes smoothly as it grows, and one without prose is held against that of all.
     """
     k = len(STATISTICS)
-    values = F.array(*[F.col(s) for s in STATISTICS])
-    core = measured.where((F.col("sentence_share") >= CORE_SHARE) & ~F.col("code")).withColumn("v", values)
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    names = list(STATISTICS)
+    prose = measured.where(~F.col("code"))
+    middle = [F.percentile_approx(s, 0.5).alias(f"m_{s}") for s in names]
+    first = prose.agg(*middle, *[F.stddev_pop(s).alias(f"d_{s}") for s in names]).first()
+    if first["m_log_words"] is None:
+        return ProseModel({}, {})
+    med = np.array([first[f"m_{s}"] for s in names])
+    floor = np.maximum(LEAST_SCALE * np.array([first[f"d_{s}"] for s in names]), RESOLUTION)
+    off = prose.agg(*[F.percentile_approx(F.abs(F.col(s) - float(m)), 0.5).alias(s) for s, m in zip(names, med, strict=True)]).first()
+    scale = np.maximum(1.4826 * np.array([off[s] for s in names]), floor)
+    near, cut = list(NEUTRAL), chi_squared(k, REWEIGHT_Z)
+    start = chi_squared(len(near), REWEIGHT_Z)
+    grow = 0.975 / chi_squared_below(k + 2, cut)
+
+    def kept(_language: pd.Series, x: np.ndarray) -> np.ndarray:
+        return (((x - med) / scale)[:, near] ** 2).sum(axis=1) <= start
+
     model = ProseModel({}, {})
-    for step in range(steps):
-        kept = core
-        if step:
-            parts = _distance_udf(model)(F.col("language"), F.col("v"))
-            kept = core.where(F.aggregate(parts, F.lit(0.0), lambda a, b: a + b) <= chi_squared(k, REWEIGHT_Z))
-        cols = [F.count(F.lit(1)).alias("n")]
-        cols += [F.sum(F.col(s)).alias(f"s{i}") for i, s in enumerate(STATISTICS)]
-        cols += [F.sum(F.col(STATISTICS[i]) * F.col(STATISTICS[j])).alias(f"p{i}_{j}") for i, j in pairs]
-        sums = {r["language"]: r for r in kept.groupBy("language").agg(*cols).collect()}
-        totals: dict[str, list] = {}
-        for lang, r in sums.items():
-            m = np.zeros((k, k))
-            for i, j in pairs:
-                m[i, j] = m[j, i] = r[f"p{i}_{j}"]
-            totals[lang] = [r["n"], np.array([r[f"s{i}"] for i in range(k)]), m]
+    for _ in range(steps):
+        totals = _core_sums(measured, kept)
         if not totals:
             break
         everything = [sum(t[a] for t in totals.values()) for a in range(3)]
-        pull = MIN_CORE / everything[0]
+        pull = PULL / everything[0]
         totals = {lang: [a + pull * b for a, b in zip(t, everything, strict=True)] for lang, t in totals.items()}
         totals[""] = everything
         center, inverse = {}, {}
         for lang, (n, s, m) in totals.items():
             mu = s / n
-            cov = m / n - np.outer(mu, mu)
-            floor = np.array([0.15, 0.25, 0.01, 0.01, 0.1, 0.03, 0.05, 0.15, 0.03, 0.05, 0.01, 0.01]) ** 2
-            center[lang], inverse[lang] = mu, np.linalg.inv(cov + np.diag(floor))
-        model = ProseModel(center, inverse)
+            center[lang], inverse[lang] = mu, np.linalg.inv(grow * (m / n - np.outer(mu, mu)) + np.diag(floor**2))
+        model = fitted = ProseModel(center, inverse)
+
+        def kept(language: pd.Series, x: np.ndarray, fitted: ProseModel = fitted) -> np.ndarray:
+            return fitted.contributions(language, x).sum(axis=1) <= cut
+
     return model
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
     """One row per document with text: language, statistics, squared distance from its language's prose, the
-    contribution of each statistic, whether it is an outlier, whether it is code.
+    contribution of each statistic, their sum on the adverse side (``adverse``), whether it is an outlier, whether it is
+    program code.
 
     Null and blank texts have no row. Repeated rows have one row each. An empty table gives no rows.
     """
     measured = stage(document_statistics(docs), "quality")
     model = fit_prose(measured)
-    parts = _distance_udf(model)(F.col("language"), F.array(*[F.col(s) for s in STATISTICS]))
+    got = _distance_udf(model)(F.col("language"), F.array(*[F.col(s) for s in STATISTICS]))
     limit = chi_squared(len(STATISTICS), QUANTILE_Z)
+    names = F.array(*[F.lit(s) for s in STATISTICS])
     return (
-        measured.withColumn("parts", parts)
-        .withColumn("distance", F.aggregate("parts", F.lit(0.0), lambda a, b: a + b))
+        measured.withColumn("_d", got)
+        .withColumn("distance", F.aggregate("_d.parts", F.lit(0.0), lambda a, b: a + b))
+        .withColumn("adverse", F.col("_d.adverse"))
         .withColumn("outlier", F.col("distance") > limit)
-        .withColumn("top_statistic", F.element_at(F.array(*[F.lit(s) for s in STATISTICS]), F.array_position("parts", F.array_max("parts")).cast("int")))
-        .withColumn("contributions", F.map_from_arrays(F.array(*[F.lit(s) for s in STATISTICS]), "parts"))
-        .drop("parts")
+        .withColumn("top_statistic", F.element_at(names, F.array_position("_d.parts", F.array_max("_d.parts")).cast("int")))
+        .withColumn("contributions", F.map_from_arrays(names, F.col("_d.parts")))
+        .drop("_d")
     )
 
 
@@ -390,6 +441,8 @@ def p2_statistics(spark, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark, sf_dir: str) -> DataFrame:
-    """Outliers that aren't code and have less than PROSE_SHARE of their characters in running sentences."""
+    """Documents that aren't program code and whose statistics on the adverse side of prose (more symbols, digits,
+    repetition, bullets or odd characters, fewer ends of sentences, common words or sentences) by themselves add up to
+    an outlier's distance. So a long book or short note of prose, far out by its size alone, is no case."""
     report = p2_statistics(spark, sf_dir)
-    return report.where(F.col("outlier") & ~F.col("code") & (F.col("sentence_share") < PROSE_SHARE)).select("doc_id")
+    return report.where(~F.col("code") & (F.col("adverse") > chi_squared(len(STATISTICS), QUANTILE_Z))).select("doc_id")
