@@ -21,6 +21,8 @@ LIMIT = 2048
 OVERLAP = 128
 #: Kinds of cuts, best first. ``end`` is the sequence's own end.
 KINDS = ("paragraph", "line", "sentence", "word", "character", "none")
+#: An overlap begins at most so many ids earlier than asked, so that no character (of up to four bytes) is split.
+LEAD = 3
 #: A better kind is taken only if the piece is then at least this part of the limit.
 MIN_FILL = 0.5
 
@@ -100,12 +102,27 @@ class Pieces:
         return out
 
 
+def starts(rank: np.ndarray, overlap: int) -> np.ndarray:
+    """Where a piece cut at each position begins: its overlap before, up to LEAD ids more so that no character is split.
+
+    A longer run of continuation bytes is no character; there the overlap begins where it was asked for.
+    """
+    at = np.arange(len(rank))
+    whole = np.maximum.accumulate(np.where(rank <= 4, at, 0))  # last position at or before that splits no character
+    asked = np.maximum(at - overlap, 0)
+    return np.where(asked - whole[asked] <= LEAD, whole[asked], asked)
+
+
 def cut_points(rank: np.ndarray, limit: int, overlap: int, min_fill: float = MIN_FILL) -> np.ndarray:
-    """Greedy cuts 0 = c0 < c1 < ... = n such that each piece [start of its overlap, next cut) has at most ``limit`` ids."""
+    """Greedy cuts 0 = c0 < c1 < ... = n such that each piece [start of its overlap, next cut) has at most ``limit`` ids.
+
+    Every piece brings at least one new id, as ``limit`` exceeds ``overlap`` + LEAD.
+    """
+    if limit <= overlap + LEAD:
+        raise ValueError("the limit must exceed the overlap by more than LEAD")
     n = len(rank) - 1
     at = np.arange(n + 1)
-    whole = np.maximum.accumulate(np.where(rank <= 4, at, 0))  # last position at or before that splits no character
-    start = whole[np.maximum(at - overlap, 0)]
+    start = starts(rank, overlap)
     reach = np.minimum(start + limit, n)
     succ = reach.copy()  # where nothing better exists, a hard cut
     done = reach == n
@@ -129,12 +146,13 @@ def split_oversized(items: DataFrame, vocab: DataFrame, limit: int = LIMIT, over
 
     Control ids are left out; ``start`` and ``end`` count the remaining ids. Each piece but the first begins with the
     ``overlap`` ids before its cut (up to 3 more, so that no character is split). Cuts are at paragraphs, lines,
-    sentences, words, characters, in this order, and within a character only if it alone exceeds the limit.
+    sentences, words, characters, in this order, and within a run of bytes that is no character only if it is longer
+    than a piece; every piece goes on by at least one id, so damaged rows end too.
     Null tokens and null ids: no piece. Ids missing in the vocabulary stand for nothing but count. Rows stay in their
     partitions: there is no shuffle, and only long rows reach Python.
     """
-    if not 0 <= overlap <= limit // 2:
-        raise ValueError("the overlap must be from 0 to half of the limit")
+    if not (0 <= overlap <= limit // 2 and limit > overlap + LEAD):
+        raise ValueError("the overlap must be from 0 to half of the limit, and leave it more than LEAD ids")
     rows = vocab.where("token_id >= 0 and piece is not null").select("token_id", "piece").limit(MAX_VOCAB + 1).collect()
     if len(rows) > MAX_VOCAB:
         raise ValueError(f"the vocabulary has more than {MAX_VOCAB} pieces")
@@ -148,13 +166,11 @@ def split_oversized(items: DataFrame, vocab: DataFrame, limit: int = LIMIT, over
                 ids = np.asarray(ids, np.int64)
                 seen = np.where(ids < len(known.text), ids, 0)  # unknown ids count, but stand for no text
                 rank = known.boundaries(seen)
-                cuts = cut_points(rank, limit, overlap)
+                cuts, begin = cut_points(rank, limit, overlap), starts(rank, overlap)
                 n = len(cuts) - 1
                 for k in range(n):
                     c, e = int(cuts[k]), int(cuts[k + 1])
-                    s = max(c - overlap, 0)
-                    while s and rank[s] == 5:
-                        s -= 1
+                    s = int(begin[c]) if k else 0
                     kind = "end" if k == n - 1 else KINDS[rank[e]]
                     out.append((row_id, k, n, s, e, e - s, c - s, kind, known.decode(seen[s:e]), ids[s:e]))
                 if len(out) > 2000:

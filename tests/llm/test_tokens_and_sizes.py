@@ -88,13 +88,15 @@ def test_budget_brings_dirty_values_together_and_counts_every_row(spark):
 def test_pointer_doubling_gives_the_greedy_cuts(inner, limit, overlap):
     import numpy as np
 
-    overlap = min(overlap, limit // 2)
-    rank = np.array([0, *[min(r, 4) for r in inner], 0], np.int8)
+    overlap = min(overlap, limit // 2, limit - splitting.LEAD - 1)
+    rank = np.array([0, *inner, 0], np.int8)
     n = len(rank) - 1
     cuts = [0]
     while cuts[-1] < n:
         b = cuts[-1]
         s = max(b - overlap, 0)
+        back = next(x for x in range(s, -1, -1) if rank[x] <= 4)
+        s = back if s - back <= splitting.LEAD else s
         reach = min(s + limit, n)
         if reach == n:
             cuts.append(n)
@@ -106,16 +108,29 @@ def test_pointer_doubling_gives_the_greedy_cuts(inner, limit, overlap):
     assert splitting.cut_points(rank, limit, overlap).tolist() == cuts
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 5), st.integers(1, 40)), min_size=1, max_size=8), st.integers(5, 20), st.integers(0, 9))
+def test_cuts_end_in_long_runs_of_continuation_bytes(runs, limit, overlap):
+    import numpy as np
+
+    overlap = min(overlap, limit // 2, limit - splitting.LEAD - 1)
+    rank = np.array([0, *[r for r, n in runs for _ in range(n)], 0], np.int8)
+    cuts, begin = splitting.cut_points(rank, limit, overlap), splitting.starts(rank, overlap)
+    assert cuts[0] == 0 and cuts[-1] == len(rank) - 1 and (np.diff(cuts) > 0).all()
+    assert all(e - (begin[c] if c else 0) <= limit for c, e in zip(cuts[:-1], cuts[1:], strict=True))
+    assert splitting.cut_points(np.array([0, *[5] * 60, 0], np.int8), 10, 2).tolist()[:3] == [0, 10, 18]
+
+
 def test_split_round_trip_and_edges(spark, tiny):
     vocab = spark.read.parquet(f"{tiny}/vocab.parquet")
     ids = {r.piece: r.token_id for r in vocab.collect()}
     sentence = [ids["▁the"] if "▁the" in ids else ids["▁"], ids["a"], ids["."]]
     long = [1] + sentence * 60 + [13] + sentence * 60 + [2]
-    rows = [(1, long, 7), (1, long, 7), (2, [5] * 40, 0), (3, None, 0), (4, [], 0), (None, [ids["a"]] * 500, 0), (6, [10**6] * 130, 0)]
+    rows = [(1, long, 7), (1, long, 7), (2, [5] * 40, 0), (3, None, 0), (4, [], 0), (None, [ids["a"]] * 500, 0), (6, [10**6] * 130, 0), (7, [3 + 0x80] * 700, 0)]
     df = spark.createDataFrame(rows, "row_id long, token array<int>, contents int")
     out = splitting.split_oversized(df, vocab, 100, 10)
     got = out.collect()
-    assert {r.row_id for r in got} == {1, None, 6}
+    assert {r.row_id for r in got} == {1, None, 6, 7}
     assert all(r.n_ids <= 100 for r in got) and max(r.overlap for r in got) <= 13
     one = sorted([r for r in got if r.row_id is None], key=lambda r: r.piece_no)
     assert [i for r in one for i in r.token[r.overlap :]] == [ids["a"]] * 500
