@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -147,17 +148,18 @@ def test_vector_best_fit_respects_every_capacity(items, most, rule):
     import numpy as np
 
     items = sorted(items, reverse=True)
-    place, bins = binpack.vector_best_fit(np.array(items, int), 64, most, 64.0 * 64, rule=rule)
+    cost = 0.5 * 64 * 64
+    place, bins = binpack.vector_best_fit(np.array(items, int), 64, most, cost, rule=rule)
     for b in range(bins):
         own = [t for t, p in zip(items, place, strict=True) if p == b]
-        assert own and sum(own) <= 64 and len(own) <= most and sum(t * t for t in own) <= 64 * 64
+        assert own and sum(own) <= 64 and len(own) <= most and sum(t * t for t in own) <= binpack.cost_capacity(own[0], 64, cost)
     assert len(place) == len(items)
 
 
 def test_pack_places_every_token_once(spark):
     rows = [(i, (i * 37) % 90 + 1, "x") for i in range(500)] + [(7, 8, "x")] * 50 + [(None, 5, "x"), (600, 0, "x"), (601, None, "x"), (2**62 + 1, 1000, "x")]
     sized = spark.createDataFrame(rows, "doc_id long, n_tokens long, piece_no string")
-    out = binpack.pack(sized, 600, capacity=100, max_docs=8, group_items=64)
+    out = binpack.pack(sized, capacity=100, max_docs=8, group_items=64)
     got = out.collect()
     assert sum(r.n_tokens for r in got) == sum(r[1] or 0 for r in rows)
     per = {}
@@ -166,10 +168,40 @@ def test_pack_places_every_token_once(spark):
     assert all(sum(x.n_tokens for x in v) <= 100 and len(v) <= 8 and sorted(x.position for x in v) == list(range(len(v))) for v in per.values())
     assert [r.n_tokens for r in got if r.doc_id == 2**62 + 1] == [100] * 10  # only the one over the capacity is cut
     assert max(r.piece_no for r in got if r.doc_id != 2**62 + 1) == 0
-    assert sorted(map(tuple, got)) == sorted(map(tuple, binpack.pack(sized.repartition(5), 600, 100, 8, group_items=64).collect()))
-    assert binpack.pack(sized.limit(0), 0).count() == 0
-    fill = binpack.fill_report(binpack.pack(sized, 600, 100, 60, group_items=600), 100).first().fill
-    assert fill > 0.97
+    assert sorted(map(tuple, got)) == sorted(map(tuple, binpack.pack(sized.repartition(5), 100, 8, group_items=64).collect()))
+    assert binpack.pack(sized.limit(0)).count() == 0
+    fill = binpack.fill_report(binpack.pack(sized, 100, 60, group_items=600), 100, 60).first()
+    assert fill.fill > 0.97 and fill.closed_by_tokens + fill.closed_by_documents + fill.closed_by_cost == fill.sequences
+
+
+def test_every_capacity_binds_and_bins_differ_from_tokens_only(spark, tiny):
+    rng = random.Random(5)
+    rows = [(i, min(2048, int(rng.lognormvariate(5.3, 1)) + 1)) for i in range(4000)]
+    sized = spark.createDataFrame(rows, "doc_id long, n_tokens long")
+    packed = binpack.pack(sized)
+    report = binpack.fill_report(packed).first()
+    assert report.closed_by_documents > 0 and report.closed_by_cost > 0 and report.closed_by_tokens > 0
+    scalar = binpack.pack(sized, max_docs=1 << 40, max_cost=binpack.NO_BOUND, weights=(1.0, 0.0, 0.0))
+
+    def mates(df):
+        per = {}
+        for r in df.collect():
+            per.setdefault(r.sequence_id, set()).add(r.doc_id)
+        return {d: frozenset(v) for v in per.values() for d in v}
+
+    a, b = mates(packed), mates(scalar)
+    assert sum(a[d] != b[d] for d in a) > 0.3 * len(a)
+    assert report.fill > 0.97
+
+
+def test_ids_of_sequences_stay_apart_in_a_swollen_group(spark):
+    """Rows with equal ids and sizes share a hash: their group is packed in many windows."""
+    sized = spark.range(5000).selectExpr("cast(null as bigint) as doc_id", "90L as n_tokens")
+    got = binpack.pack(sized, 100, 8, group_items=4).collect()
+    per = {}
+    for r in got:
+        per[r.sequence_id] = per.get(r.sequence_id, 0) + r.n_tokens
+    assert len(got) == len(per) == 5000
 
 
 def test_mix_hits_the_shares_and_caps_copies(spark):
