@@ -3,7 +3,9 @@
 1. Both sides become word lists: case, punctuation, markup, line prefixes and line breaks are put aside.
 2. Seeds: word n-grams (Karp-Rabin hashes) that a row shares with an item are joined. A passage with few altered words
    keeps a known least number of n-grams within a narrow band of offsets, whatever its length, so pairs below that number
-   hold no passage. For coverage alone, a pair must share half of the item's n-grams, which is stricter than its tiles.
+   hold no passage. For coverage, n-grams of a tile's least length are joined; the most frequent ones of each item are
+   held back as long as they cover less than half of what is asked, and the others must cover the rest. Neither loses
+   a link.
 3. Passages: for each pair left, banded edit distance to both sides of each common run of words gives the longest
    passage within the allowed share of altered words, exactly.
 4. Tiling: the longest common runs of words are marked again and again, none overlapping another; the share of the item
@@ -35,8 +37,11 @@ BAND = (2 * PASSAGE_WORDS - 1) // ALTERED
 #: Held-out items go to the executors in blocks of at most about so many characters each; each block scans the corpus.
 BLOCK_CHARS = 16 << 20
 CHUNK_WORDS = 100_000
-#: Numbers held at once for the runs of a pair.
+#: Part of an item's words that held back seeds may cover; half of COVERAGE.
+HELD_BACK = 0.25
+#: Numbers held at once for the runs of a pair, and pairs of seeds held at once.
 PASSAGE_CELLS = 1 << 20
+SEED_CELLS = 1 << 20
 
 #: Ids pass Python as strings, so nulls and large numbers stay exact.
 LEAKS = "row_id string, eval_id string, item_words int, passage_words int, altered int, passage_start int, coverage double, passage boolean"
@@ -127,80 +132,167 @@ class ItemIndex:
             order = np.argsort(h, kind="stable")
             keys, first, count = np.unique(h[order], return_index=True, return_counts=True)
             self.by_k[k] = keys, first, count, item[order], pos[order]
-        self.grams = np.array([max(len(w) - k + 1, 1) for w, k in zip(self.words, best, strict=True)], np.int64)
+        self.tiles = self._tile_seeds()
+
+    def _tile_seeds(self) -> tuple[np.ndarray, ...]:
+        """Seeds of MIN_TILE words for the coverage, without those that are held back."""
+        grams = [_grams(w, MIN_TILE) for w in self.words]
+        flat = np.concatenate([np.zeros(0, np.uint64), *grams])
+        keys, which, times = np.unique(flat, return_inverse=True, return_counts=True)
+        kept, at = np.ones(len(flat), bool), 0
+        for g, n in zip(grams, self.length.tolist(), strict=True):
+            often = times[which[at : at + len(g)]]
+            covered, free = HELD_BACK * n, np.ones(n, bool)
+            for p in np.argsort(-often, kind="stable").tolist():
+                covered -= int(free[p : p + MIN_TILE].sum())
+                if covered < 0 or often[p] < 2:
+                    break
+                free[p : p + MIN_TILE] = False
+                kept[at + p] = False
+            at += len(g)
+        item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[kept]
+        pos = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(g)) for g in grams]])[kept]
+        order = np.argsort(flat[kept], kind="stable")
+        keys, first, count = np.unique(flat[kept][order], return_index=True, return_counts=True)
+        return keys, first, count, item[order], pos[order]
+
+
+def _blocks(reps: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Stretches of ``reps`` that add up to about ``most``; a single one may exceed it."""
+    upto = np.cumsum(reps)
+    at = 0
+    while at < len(reps):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+        yield at, end
+        at = end
+
+
+def _expand(first: np.ndarray, reps: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... for each i, ``reps[i]`` numbers."""
+    return np.repeat(first, reps) + np.arange(int(reps.sum())) - np.repeat(np.cumsum(reps) - reps, reps)
+
+
+def _met(seeds: tuple[np.ndarray, ...], h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in ``h`` of hashes that are seeds, with item and place in the item, in blocks of SEED_CELLS."""
+    keys, first, count, item, pos = seeds
+    if not len(keys) or not len(h):
+        return
+    at = np.searchsorted(keys, h)
+    at[at == len(keys)] = 0
+    hit = np.flatnonzero((keys[at] == h) & (h != 0))
+    at = at[hit]
+    for lo, hi in _blocks(count[at], SEED_CELLS):
+        post = _expand(first[at[lo:hi]], count[at[lo:hi]])
+        yield np.repeat(hit[lo:hi], count[at[lo:hi]]), item[post], pos[post]
+
+
+def _sum_up(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts per key of several (sorted keys, counts), added up."""
+    if len(parts) == 1:
+        return parts[0]
+    keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(where, np.concatenate([c for _, c in parts])).astype(np.int64)
 
 
 def candidates(index: ItemIndex, ids: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Pairs (row, item) of a chunk that can hold a passage or reach the coverage; ids of rows stand apart by -1."""
+    """Pairs (row, item) of a chunk that can hold a passage or reach the coverage; ids of rows stand apart by -1.
+
+    Pairs of seeds are counted block by block, so a row that says one word again and again takes no more room.
+    """
     found = []
     n_items = len(index.eval_id)
-    for k, (keys, first, count, item, pos) in index.by_k.items():
-        h = _grams(ids, k)
-        at = np.searchsorted(keys, h)
-        at[at == len(keys)] = 0
-        hit = np.flatnonzero((keys[at] == h) & (h != 0))
-        if not len(hit):
-            continue
-        reps = count[at[hit]]
-        src = np.repeat(hit, reps)
-        inner = np.arange(len(src)) - np.repeat(np.cumsum(reps) - reps, reps)
-        post = np.repeat(first[at[hit]], reps) + inner
-        it, ep = item[post], pos[post]
-        pair = row[src] * n_items + it
+    longest = int(index.length.max())
+    for k, seeds in index.by_k.items():
         # offsets in bands of 2 * BAND, every BAND: those of one passage differ by no more than its altered words
-        band = (ep - src + len(ids)) // BAND
-        wide = (len(ids) + int(index.length.max())) // BAND + 3
-        for shift in (0, 1):
-            key, c = np.unique(pair * wide + (band + shift) // 2 * 2, return_counts=True)
-            own = key // wide
-            found.append(own[c >= index.least[own % n_items]])
-        cover = np.unique(pair * (int(index.length.max()) + 1) + ep)
-        own, c = np.unique(cover // (int(index.length.max()) + 1), return_counts=True)
-        found.append(own[c >= np.maximum(1, COVERAGE * index.grams[own % n_items])])
+        wide = (len(ids) + longest) // BAND + 3
+        counts: tuple[list, list] = ([], [])
+        for src, it, ep in _met(seeds, _grams(ids, k)):
+            pair, band = row[src] * n_items + it, (ep - src + len(ids)) // BAND
+            for shift in (0, 1):
+                counts[shift].append(np.unique(pair * wide + (band + shift) // 2 * 2, return_counts=True))
+                if len(counts[shift]) > 8:
+                    counts[shift][:] = [_sum_up(counts[shift])]
+        for parts in counts:
+            if parts:
+                key, c = _sum_up(parts)
+                own = key // wide
+                found.append(own[c >= index.least[own % n_items]])
+    cover = [np.unique((row[src] * n_items + it) * longest + ep) for src, it, ep in _met(index.tiles, _grams(ids, MIN_TILE))]
+    if cover:
+        key = cover[0] if len(cover) == 1 else np.unique(np.concatenate(cover))
+        own, ep = key // longest, key % longest
+        # words under the seeds, each once
+        words = np.minimum(MIN_TILE, np.r_[np.where(np.diff(own) == 0, np.diff(ep), MIN_TILE), MIN_TILE])
+        pair, begin = np.unique(own, return_index=True)
+        need = (COVERAGE - HELD_BACK) * index.length[pair % n_items]
+        found.append(pair[np.add.reduceat(words, begin) >= need])
     if not found:
         return np.zeros((0, 2), np.int64)
     pairs = np.unique(np.concatenate(found))
     return np.stack([pairs // n_items, pairs % n_items], axis=1)
 
 
-def runs(a: np.ndarray, b: np.ndarray, least: int = MIN_TILE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sorted_grams(ids: np.ndarray, k: int = MIN_TILE) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all k-grams in order, and their places."""
+    h = _grams(ids, k)
+    order = np.argsort(h, kind="stable")
+    return h[order], order
+
+
+def runs(a: np.ndarray, b: np.ndarray, least: int = MIN_TILE, grams: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All runs of at least ``least`` equal words that can't grow, as starts in ``a``, starts in ``b`` and lengths.
 
-    Karp-Rabin hashes of ``least`` words are joined and neighbours on a diagonal lined up.
+    Karp-Rabin hashes of ``least`` words are joined, block by block; of the places that meet, only the first and the
+    last of each run are kept. ``grams``: the sorted hashes of ``a``, if they are known.
     """
-    ha, hb = _grams(a, least), _grams(b, least)
-    order = np.argsort(hb, kind="stable")
-    sorted_b = hb[order]
-    lo, hi = np.searchsorted(sorted_b, ha, "left"), np.searchsorted(sorted_b, ha, "right")
-    reps = np.where(ha != 0, hi - lo, 0)
-    pa = np.repeat(np.arange(len(ha)), reps)
-    if not len(pa):
-        return pa, pa, pa
-    pb = order[np.repeat(lo, reps) + np.arange(len(pa)) - np.repeat(np.cumsum(reps) - reps, reps)]
-    o = np.lexsort((pa, pb - pa))
-    pa, pb = pa[o], pb[o]
-    new = np.flatnonzero(np.r_[True, (np.diff(pb - pa) != 0) | (np.diff(pa) != 1)])
-    return pa[new], pb[new], np.diff(np.r_[new, len(pa)]) + least - 1
-
-
-def tiles(a: np.ndarray, b: np.ndarray, least: int = MIN_TILE) -> list[tuple[int, int, int]]:
+    hashes, order = grams or sorted_grams(a, least)
+    hb = _grams(b, least)
+    lo, hi = np.searchsorted(hashes, hb, "left"), np.searchsorted(hashes, hb, "right")
+    reps = np.where(hb != 0, hi - lo, 0)
+    place = np.flatnonzero(reps)
+    edges: tuple[list, list] = ([], [])
+    for i, j in _blocks(reps[place], SEED_CELLS):
+        own = place[i:j]
+        pb, pa = np.repeat(own, reps[own]), order[_expand(lo[own], reps[own])]
+        for side, da, db, end in ((edges[0], pa - 1, pb - 1, (pa == 0) | (pb == 0)), (edges[1], pa + least, pb + least, (pa + least == len(a)) | (pb + least == len(b)))):
+            at = np.flatnonzero(end | (a[np.clip(da, 0, len(a) - 1)] != b[np.clip(db, 0, len(b) - 1)]))
+            side.append(np.stack([pb[at] - pa[at], pa[at]]))
+    if not edges[0]:
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    first, last = (np.concatenate(e, axis=1) for e in edges)
+    first, last = first[:, np.lexsort(first[::-1])], last[:, np.lexsort(last[::-1])]
+    return first[1], first[0] + first[1], last[1] - first[1] + least
+
+
+def under(found: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> int:
+    """Words of an item of ``n`` words that are in any of the common runs: no tiling covers more."""
+    _, y, size = found
+    return int(np.count_nonzero(np.cumsum(np.bincount(y, minlength=n + 1) - np.bincount(y + size, minlength=n + 1))))
+
+
+def tiles(a: np.ndarray, b: np.ndarray, least: int = MIN_TILE, found: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int, int]]:
     """Greedy string tiling of word numbers ``a`` and ``b``: (start in a, start in b, length), none overlapping.
 
-    The longest run of equal words is marked first; runs that it cuts into go back with what is left of them.
+    The longest run of equal words is marked first; runs that it cuts into go back with what is left of them. ``found``:
+    the runs, if they are known.
     """
     by_size: dict[int, list[tuple[int, int]]] = {}
-    for x, y, n in zip(*(v.tolist() for v in runs(a, b, least)), strict=True):
+    for x, y, n in zip(*(v.tolist() for v in found or runs(a, b, least)), strict=True):
         by_size.setdefault(n, []).append((x, y))
     free_a, free_b = np.ones(len(a), bool), np.ones(len(b), bool)
-    out = []
+    out, left = [], len(b)
     n = max(by_size, default=0)
-    while n >= least:
+    while n >= least and left >= least:
         for x, y in sorted(by_size.pop(n, [])):
             ok = free_a[x : x + n] & free_b[y : y + n]
             if ok.all():
                 free_a[x : x + n] = free_b[y : y + n] = False
                 out.append((x, y, n))
+                left -= n
                 continue
+            if left < least:
+                break
             edge = np.flatnonzero(np.diff(np.r_[False, ok, False]))
             for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
                 if e - s >= least:
@@ -263,6 +355,8 @@ def longest_passage(a: np.ndarray, b: np.ndarray, need: int, found: tuple[np.nda
     that length or more has a half that is a passage too, so only runs in so long a passage are looked at further.
     """
     x, y, n = found
+    if len(n) and n.max() == len(b):
+        return len(b), 0, int(x[n.argmax()])
     best, far = (0, 0, 0), 2 * need
     while len(x):
         far = min(far, len(b))
@@ -326,16 +420,22 @@ def _leaks_of_block(corpus: DataFrame, block: list[tuple[str | None, str]]) -> D
         lens = np.array([len(w) + len(gap) for w in lists])
         row = np.repeat(np.arange(len(lists)), lens)
         out = []
+        at, grams = -1, None
         for r, i in candidates(index, ids, row).tolist():
             item = index.words[i]
             need = int(index.need[i])
-            common = runs(lists[r], item, min(MIN_TILE, need))
+            if r != at:  # pairs come row by row
+                at, grams = r, sorted_grams(lists[r])
+            common = runs(lists[r], item, MIN_TILE, grams) if need >= MIN_TILE else runs(lists[r], item, need)
             through = passage_runs(common, need, len(item))
-            if not len(through[0]) and common[2].sum() < COVERAGE * len(item):
+            enough = under(common, len(item)) >= COVERAGE * len(item)
+            if not len(through[0]) and not enough:
                 continue
             span, altered, start = longest_passage(lists[r], item, need, through)
             passage = span >= need
-            cover = sum(n for _, _, n in tiles(lists[r], item)) / len(item)
+            if not passage and not enough:
+                continue
+            cover = sum(n for _, _, n in tiles(lists[r], item, found=common if need >= MIN_TILE else None)) / len(item)
             if cover >= COVERAGE and not passage:
                 span, altered, start = longest_passage(lists[r], item, need, common)
             if passage or cover >= COVERAGE:

@@ -301,6 +301,75 @@ def test_late_passage_of_a_very_long_item_is_a_candidate():
     assert leakage.candidates(index, ids, np.zeros(len(ids), np.int64)).tolist() == [[0, 0]]
 
 
+@pytest.mark.parametrize("size", [3, 4, 6])
+def test_reordered_items_are_found(spark, size):
+    """Items whose words stand in a row in blocks of a few words, in another order; recall is 1."""
+    r = random.Random(size)
+    stock = words(24, 99, "s")
+    items, rows = [], []
+    for i in range(40):
+        item = words(80, 100 + i)
+        if i % 2:  # stock words that all items share
+            item[:24] = stock
+        blocks = [item[k : k + size] for k in range(0, 80, size)]
+        r.shuffle(blocks)
+        items.append((i, " ".join(item)))
+        kept = blocks[: -(-len(blocks) * 6 // 10)]
+        rows.append((i, " ".join(w for b in kept for w in [*b, "zz"])))
+    got = leakage.find_leaks(spark.createDataFrame(rows, "row_id long, contents string"), spark.createDataFrame(items, "eval_id long, text string"))
+    found = {(g.row_id, g.eval_id): g.coverage for g in got.collect()}
+    assert all(found.get((i, i), 0) >= 0.5 for i in range(40)) and set(found) == {(i, i) for i in range(40)}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 10**6), st.integers(3, 40), st.integers(2, 8))
+def test_candidates_lose_no_coverage(seed, n, kinds):
+    """Few kinds of words, so that many seeds are shared and held back."""
+    r = random.Random(seed)
+    items = [[f"k{r.randint(0, kinds)}" for _ in range(n)] for _ in range(4)]
+    index = leakage.ItemIndex([(i, " ".join(w)) for i, w in enumerate(items)])
+    row = [f"k{r.randint(0, kinds + 2)}" for _ in range(60)]
+    ids = np.array([index.vocab.get(w, -1) for w in row], np.int64)
+    pairs = leakage.candidates(index, np.r_[ids, [-1] * 5], np.zeros(65, np.int64)).tolist()
+    for i in range(4):
+        if sum(t[2] for t in leakage.tiles(ids, index.words[i])) >= leakage.COVERAGE * n:
+            assert [0, i] in pairs
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(-1, 3), max_size=40), st.lists(st.integers(0, 3), max_size=30), st.integers(1, 50))
+def test_runs_as_by_brute_force(a, b, cells):
+    want = set()
+    for x in range(len(a)):
+        for y in range(len(b)):
+            if a[x] == b[y] and not (x and y and a[x - 1] == b[y - 1]):
+                n = 0
+                while x + n < len(a) and y + n < len(b) and a[x + n] == b[y + n]:
+                    n += 1
+                if n >= 3:
+                    want.add((x, y, n))
+    held, leakage.SEED_CELLS = leakage.SEED_CELLS, cells
+    try:
+        got = leakage.runs(np.array(a, np.int64), np.array(b, np.int64))
+    finally:
+        leakage.SEED_CELLS = held
+    assert set(zip(*map(np.ndarray.tolist, got), strict=True)) == want
+
+
+def test_one_word_again_and_again_takes_bounded_room(spark):
+    """A row of 100,000 equal words against an item that says the word 500 times."""
+    import resource
+
+    index = leakage.ItemIndex([(1, "ha " * 500), (2, " ".join(words(60, 1)))])
+    ids = np.zeros(100_000, np.int64)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert leakage.candidates(index, ids, np.zeros(len(ids), np.int64)).tolist() == [[0, 0]]
+    common = leakage.runs(ids, index.words[0])
+    assert leakage.longest_passage(ids, index.words[0], 35, leakage.passage_runs(common, 35, 500))[0] == 500
+    assert sum(n for *_, n in leakage.tiles(ids, index.words[0])) == 500
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000  # kB
+
+
 # ---- personal data
 
 NAMES = [(g, "given") for g in ("Anna", "Rose", "May")] + [(h + t, "family") for h in ("Kelv", "Marn", "Tross", "Bolv") for t in ("ander", "etti", "quist", "oveski")][:-1]
