@@ -2,12 +2,16 @@
 
 Wide patterns give candidate spans. Labelers (patterns, gazetteer, context) vote for or against each span or abstain.
 Expectation-maximisation over the counts of vote patterns estimates how reliable each labeler is and how likely each
-pattern is to be real; a logistic span classifier is then trained on these soft labels and decides.
+pattern is to be real. From these soft labels it is learnt which words stand around real spans; a logistic span
+classifier of the votes, the form of the span and its neighbours is then trained on them and decides. All beliefs that
+the fit starts from weigh as a share of the spans, so the same kinds of spans are judged alike in a corpus of any size.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,14 +30,23 @@ LABELERS = {
     "name": ("given", "family", "family_form", "before", "after", "organisation"),
 }
 EM_STEPS = 40
-#: Strength of the first belief in each labeler, as a number of spans.
-PRIOR_SPANS = 20.0
+#: Strength of the first belief in each labeler, as a share of the spans of its type.
+PRIOR_SHARE = 0.03
+#: Strength of the belief that a word around a span tells nothing, as a share of the spans of its type.
+WORD_PRIOR = 0.01
+#: Words around spans are told apart by this many hash values, so their table has a fixed size.
+WORD_BUCKETS = 512
+#: Words looked at on either side.
+WORDS_AROUND = 2
+#: Spans that the classifier's penalty is set for; counts are scaled to it.
+TRAIN_WEIGHT = 1000.0
 THRESHOLD = 0.5
 #: Gazetteers are sent to the executors; larger ones are refused.
 MAX_NAMES = 5_000_000
 
 #: Ids pass Python as strings, so nulls and large numbers stay exact.
-CANDIDATES = "doc_id string, spans array<struct<t:int,s:int,e:int,v:string,p:string>>"
+SPANS = "array<struct<t:int,s:int,e:int,v:string,p:string,f:string,b:array<int>,a:array<int>>>"
+CANDIDATES = f"doc_id string, text string, spans {SPANS}"
 FOUND = "doc_id string, pii_type string, value string"
 REDACTED = "doc_id string, text string, n_email int, n_phone int, n_id_number int, n_address int, n_name int"
 
@@ -54,7 +67,7 @@ TITLES = frozenset("mr mrs ms miss dr prof herr frau señor señora sr sra monsi
 NOT_GIVEN = frozenset(
     "the a an of and to in is was for it as with on by at from this that be are or so ask asked contact use mail name signed author edited reviewed "
     "posted words photo von und die der das le la les de du el los las y et un una une kontakt ansprechpartner said told when while if each every "
-    "our their its some another todo owner statement desk regards grüßen fixture maintainer copyright address phone id per но и в на имя контакт "
+    "our their its some another todo owner regards grüßen maintainer copyright address phone id per но и в на имя контакт "
     "selon según schrieb wrote not but then than also near under over after before about into upon via who what".split()
 )
 ORGANISATIONS = frozenset(
@@ -96,26 +109,26 @@ _RIGHT_GIVEN = re.compile(r"\s*,\s*((?:[^\W\d_]\.[ \xa0]?){1,3}(?![^\W\d_])|[^\W
 _ZH_LABELLED = re.compile(r"(?:联系人|姓名|作者|记者|收件人|经办人)\s*[:：]\s*([一-鿿·]{2,4})(?![一-鿿])")
 _ZH_OWNER = re.compile(r"(?<![一-鿿])([一-鿿]{2,4})(?=的(?:身份证|电话|手机|护照|地址|邮箱)|先生|女士)")
 
-_MAIL_CONTEXT = re.compile(r"mail|contact|write|question|rsvp|reach|correo|schreiben|crivez|escriba|пишите|邮件|邮箱|desk of|sent to|regards|ask |owner|author|maintainer", re.I)
-_TECHNICAL = re.compile(r"pinned|version|import |job ran|boxes|invoice|@\w+\(", re.I)
+_MAIL_CONTEXT = re.compile(r"mail|contact|write|question|rsvp|reach|correo|schreiben|crivez|escriba|пишите|邮件|邮箱|sent to|regards|ask |owner|author|maintainer", re.I)
+_TECHNICAL = re.compile(r"pinned|version|import |@\w+\(", re.I)
 _PHONE_CONTEXT = re.compile(
-    r"phone|tel\b|tél|tel\.|call|text\b|ring|whatsapp|mobile|fax|number was|my old number|contact|телефон|номеру|звон|контакт|电话|手机|llame|contactez|rückfragen|telefon|regards|desk of|signal|cell", re.I
+    r"phone|tel\b|tél|tel\.|call|text\b|ring|whatsapp|mobile|fax|contact|телефон|номеру|звон|контакт|电话|手机|llame|contactez|rückfragen|telefon|regards|cell", re.I
 )
 _OTHER_NUMBER = re.compile(
     r"\b(?:grid reference|isbn|issn|record|doi|rev|build|sku|part number|parts? no|invoice|version|order no|port|serial|release|commit|model)\W*(?:[\d.\-/x ]*\W*)?$", re.I
 )
 _ID_LABEL = re.compile(
-    r"ssn|ss#|social security|passport|licen[cs]e|personal number|personnummer|identity|\bid\b|tax (?:id|n)|steuer|citizen|fiscal|national n|ni number|insurance n|travel doc|document|card|docum|докум|паспорт|身份证|护照|num[ée]ro|lautet|nir\b|dni\b|gave\b|taxpayer", re.I
+    r"ssn|ss#|social security|passport|licen[cs]e|personal number|personnummer|identity|\bid\b|tax (?:id|n)|steuer|citizen|fiscal|national n|ni number|insurance n|travel doc|document|card|docum|докум|паспорт|身份证|护照|num[ée]ro|nir\b|dni\b|taxpayer", re.I
 )
-_ID_AFTER = re.compile(r"^[\s.,;)]*(?:as the number|выдан|\((?:[a-z' .-]*)(?:ssn|ss#|social|passport|licen|personal|identity|id|tax|steuer|ni|insurance|travel|card|citizen)|(?-i:for [A-Z][a-z]+,? (?:[A-Z]\.? )?[A-Z])|\) signed)", re.I)
-_ADDRESS_CONTEXT = re.compile(r"lives? at|address|moved from|deliver|cheque|came back from|wohnt|liegt in|anschrift|adresse|trouve|vive en|llegó a|адрес|地址|住|dirección|domicilio|send|visit", re.I)
+_ID_AFTER = re.compile(r"^[\s.,;)]*(?:(?:is|was|as)? ?(?:the|a) (?:number|no\.?) of (?:the|a|his|her|their|my|your) (?:\w+ )?(?:document|card|passport|licen|permit|visa)|выдан|\((?:[a-z' .-]*)(?:ssn|ss#|social|passport|licen|personal|identity|id|tax|steuer|ni|insurance|travel|card|citizen)|(?-i:for [A-Z][a-z]+,? (?:[A-Z]\.? )?[A-Z]))", re.I)
+_ADDRESS_CONTEXT = re.compile(r"lives? at|address|moved|deliver|wohnt|anschrift|adresse|vive en|адрес|地址|住|dirección|domicilio|send|visit", re.I)
 _MEASURE = re.compile(r"\b(?:cups?|tbsp|tsp|ml|g|kg|pinch|pieces|slices|oz|people|years|items|boxes|percent)\b", re.I)
 _NAME_BEFORE = re.compile(
-    r"(?:\b(?:mr|mrs|ms|miss|dr|prof|herr|frau|name|contact|author|owner|signed|edited|reviewed by|words|photo|posted by|by|according to|asked|ask|told|statement of|desk of|parcel for|"
-    r"selon|según|schrieb|von|de|contactez|llame a|ansprechpartner ist|kontakt|контакт|на имя|todo|regards|grüßen|decision|or so|copyright \(c\) \d{4}|for|to)\b\W*|[“”\"(]\s*|,”\s*)$", re.I
+    r"(?:\b(?:mr|mrs|ms|miss|dr|prof|herr|frau|name|contact|author|owner|signed|edited|reviewed by|words|photo|posted by|by|according to|asked|ask|told|"
+    r"selon|según|schrieb|von|de|contactez|llame a|ansprechpartner ist|kontakt|контакт|на имя|todo|regards|grüßen|for|to)\b\W*|[“”\"(]\s*|,”\s*)$", re.I
 )
 _NAME_AFTER = re.compile(
-    r"^(?:,? (?:wrote|told|said|lives|signed|believed|came back|liegt|wohnt|porte|es |llegó|on \d)|\s*\((?:ssn|ss#|social|passport|driver|identity|id|tax|steuer|personal|ni|travel)|,\s*[+(\d]|\s*[|;<>]|,\s*\w+[.+\w-]*\s?[@＠(\[]|\s+[-–]\s|,\s*\d{1,3}, from|\s*\n|[:,.]\s|\"|\))", re.I
+    r"^(?:,? (?:wrote|told|said|lives|signed|wohnt|es )|\s*\((?:ssn|ss#|social|passport|driver|identity|id|tax|steuer|personal|ni|travel)|,\s*[+(\d]|\s*[|;<>]|,\s*\w+[.+\w-]*\s?[@＠(\[]|\s+[-–]\s|\s*\n|[:,.]\s|\"|\))", re.I
 )
 
 
@@ -283,7 +296,7 @@ def _addresses(text: str, words: set[str]) -> Iterator[tuple]:
                 3, s, e,
                 _mark(
                     1, 1 if code else 0, 1 if town else -1, 1 if _ADDRESS_CONTEXT.search(before) else 0, 1 if capital else -1,
-                    -1 if _MEASURE.search(span) or re.search(r"chopped|optional", span) else 0,
+                    -1 if _MEASURE.search(span) else 0,
                 ),
             )
 
@@ -399,24 +412,76 @@ def candidates(text: str, lex: Lexicon) -> list[tuple[int, int, int, str]]:
     return out
 
 
+# The letters that each place of a span's form can have.
+FORM_LETTERS = ("012345", "01234", "n -./(@+", "nltum", "bswop", "bswop")
+
+
+def _side(c: str) -> str:
+    """Kind of a neighbouring character: border or line end, space, word, bracket or quote, other."""
+    if not c or c == "\n":
+        return "b"
+    if c.isspace():
+        return "s"
+    return "w" if c.isalnum() else "o" if c in "()[]{}<>\"'“”«»" else "p"
+
+
+def form_of(text: str, s: int, e: int) -> str:
+    """A span's form: digits, letters, first mark between them, case, and the kinds of its neighbours."""
+    span = text[s:e]
+    digits, letters = sum(map(str.isdigit, span)), sum(map(str.isalpha, span))
+    mark = next((c for c in span if c in " -./(@+"), "n")
+    case = "n" if not letters else "l" if span.islower() else "u" if span.isupper() else "t" if span.istitle() else "m"
+    return (
+        str(sum(digits > n for n in (0, 2, 5, 8, 11))) + str(sum(letters > n for n in (0, 5, 12, 25))) + mark + case
+        + _side(text[s - 1 : s] if s else "") + _side(text[e : e + 1])
+    )
+
+
+def words_around(text: str, s: int, e: int) -> tuple[list[int], list[int]]:
+    """Hash values of the nearest words before and behind a span."""
+    before = _TOKEN.findall(text[max(0, s - 40) : s].lower())[-WORDS_AROUND:]
+    behind = _TOKEN.findall(text[e : e + 30].lower())[:WORDS_AROUND]
+    return tuple(sorted({zlib.crc32(w.encode()) % WORD_BUCKETS for w in ws}) for ws in (before, behind))
+
+
+class Words:
+    """What the words around spans tell: the logarithm of how much likelier a real span has them, by type and side."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = table  # (types, 2, WORD_BUCKETS)
+
+    def levels(self, t: int, before, behind) -> str:
+        """Two letters 0..4, from words that speak against a real span to words that speak for one."""
+        out = ""
+        for side, words in enumerate((before, behind)):
+            told = float(self.table[t, side, list(words)].sum()) if len(words) else 0.0
+            out += str(sum(told > x for x in (-1.5, -0.5, 0.5, 1.5)))
+        return out
+
+
 class SpanModel:
-    """Probability of each vote pattern, by type."""
+    """Probability of each kind of span (votes, form, words around), by type."""
 
-    def __init__(self, weights: list[np.ndarray]):
-        self.weights = weights
+    def __init__(self, weights: list[np.ndarray], words: Words):
+        self.weights, self.words = weights, words
         self.known: dict[tuple[int, str], float] = {}
 
-    def probability(self, t: int, pattern: str) -> float:
-        p = self.known.get((t, pattern))
+    def probability(self, t: int, kind: str) -> float:
+        p = self.known.get((t, kind))
         if p is None:
-            p = self.known[(t, pattern)] = float(1 / (1 + np.exp(-(_features([pattern]) @ self.weights[t])[0])))
+            p = self.known[(t, kind)] = float(1 / (1 + np.exp(-(_features([kind], t) @ self.weights[t])[0])))
         return p
 
-    def choose(self, spans: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int]]:
-        """The spans that are likelier real than not; of overlapping ones the likeliest, then the longest."""
-        ranked = sorted((-round(p, 6), s - e, s, e, t) for t, s, e, v in spans if (p := self.probability(t, v)) >= THRESHOLD)
+    def choose(self, spans: list) -> list[tuple[int, int, int]]:
+        """The spans (t, s, e, p, f, b, a) that are likelier real than not; of overlapping ones the likeliest, then the longest."""
+        ranked = []
+        for x in spans:
+            t = x["t"]
+            p = self.probability(t, x["p"] + x["f"] + self.words.levels(t, x["b"], x["a"]))
+            if p >= THRESHOLD:
+                ranked.append((-round(p, 6), x["s"] - x["e"], x["s"], x["e"], t))
         taken: list[tuple[int, int, int]] = []
-        for _, _, s, e, t in ranked:
+        for _, _, s, e, t in sorted(ranked):
             if all(e <= a or b <= s for _, a, b in taken):
                 taken.append((t, s, e))
         return sorted(taken, key=lambda x: x[1])
@@ -426,20 +491,25 @@ def _votes(patterns: list[str]) -> np.ndarray:
     return np.array([["-0+".index(c) - 1 for c in p] for p in patterns], float)
 
 
-def _features(patterns: list[str]) -> np.ndarray:
-    v = _votes(patterns)
-    return np.hstack([np.ones((len(v), 1)), v > 0, v < 0]).astype(float)
+def _features(kinds: list[str], t: int) -> np.ndarray:
+    """Features of kinds (votes, then form, then levels): each vote for and against, each letter of the rest."""
+    k = len(LABELERS[TYPES[t]])
+    v = _votes([x[:k] for x in kinds])
+    letters = (*FORM_LETTERS, "01234", "01234")
+    ones = [np.array([[x[k + i] == c for c in row] for x in kinds]) for i, row in enumerate(letters)]
+    return np.hstack([np.ones((len(v), 1)), v > 0, v < 0, *ones]).astype(float)
 
 
 def estimate(patterns: list[str], counts: np.ndarray, steps: int = EM_STEPS) -> np.ndarray:
     """Expectation-maximisation: the chance of each vote pattern to be real, from labelers that vote independently
-    given the truth. Reliabilities start at a common belief worth PRIOR_SPANS spans."""
+    given the truth. Reliabilities start at a common belief worth PRIOR_SHARE of the spans."""
     v = _votes(patterns)
     k = v.shape[1]
     # chance of a vote (-, 0, +) for real and for other spans
     belief = np.array([[[0.1, 0.4, 0.5]] * k, [[0.5, 0.4, 0.1]] * k])
     index = (v + 1).astype(int)
     rate, base = belief.copy(), 0.6
+    held = PRIOR_SHARE * counts.sum()
     for _ in range(steps):
         logp = np.log(np.array([base, 1 - base]))[:, None] + np.stack(
             [np.log(rate[y][np.arange(k), index]).sum(axis=1) for y in (0, 1)]
@@ -450,15 +520,15 @@ def estimate(patterns: list[str], counts: np.ndarray, steps: int = EM_STEPS) ->
         for y, w in ((0, q * counts), (1, (1 - q) * counts)):
             for vote in range(3):
                 seen = (w[:, None] * (index == vote)).sum(axis=0)
-                rate[y][:, vote] = (seen + PRIOR_SPANS * belief[y][:, vote]) / (w.sum() + PRIOR_SPANS)
-        base = ((q * counts).sum() + 6) / (counts.sum() + 10)
+                rate[y][:, vote] = (seen + held * belief[y][:, vote]) / (w.sum() + held)
+        base = ((q * counts).sum() + 0.6 * held) / (counts.sum() + held)
     return q
 
 
-def train(patterns: list[str], counts: np.ndarray, soft: np.ndarray, ridge: float = 0.1, steps: int = 60) -> np.ndarray:
-    """Weights of a logistic classifier of votes, trained on soft labels by Newton steps."""
-    x = _features(patterns)
+def train(x: np.ndarray, counts: np.ndarray, soft: np.ndarray, ridge: float = 0.1, steps: int = 60) -> np.ndarray:
+    """Weights of a logistic classifier of features ``x``, trained on soft labels by Newton steps."""
     w = np.zeros(x.shape[1])
+    counts = counts * (TRAIN_WEIGHT / counts.sum())
     penalty = ridge * np.eye(len(w))
     penalty[0, 0] = 1e-3
     for _ in range(steps):
@@ -472,16 +542,47 @@ def train(patterns: list[str], counts: np.ndarray, soft: np.ndarray, ridge: floa
     return w
 
 
-def learn(rows: list[tuple[int, str, int]]) -> SpanModel:
-    """A model from (type, votes, count) rows; a type that never occurs keeps the first belief."""
+def soft_labels(rows: list[tuple[int, str, int]]) -> dict[tuple[int, str], float]:
+    """The chance of each vote pattern to be real, from (type, votes, count) rows."""
+    out = {}
+    for t in range(len(TYPES)):
+        own = sorted((p, n) for i, p, n in rows if i == t)
+        if own:
+            got = estimate([p for p, _ in own], np.array([n for _, n in own], float))
+            out |= {(t, p): float(q) for (p, _), q in zip(own, got, strict=True)}
+    return out
+
+
+def learn_words(rows: list[tuple[int, int, int, float, float]]) -> Words:
+    """From (type, side, word, spans, soft labels added up) rows, of which there is a fixed number."""
+    table = np.zeros((len(TYPES), 2, WORD_BUCKETS))
+    for t in range(len(TYPES)):
+        for side in (0, 1):
+            own = [(w, n, real) for i, j, w, n, real in rows if (i, j) == (t, side)]
+            total, real_all = sum(n for _, n, _ in own), sum(r for *_, r in own)
+            if not total:
+                continue
+            base = min(max(real_all / total, 0.01), 0.99)
+            held = WORD_PRIOR * total
+            for w, n, real in own:
+                table[t, side, w] = np.log((real + held * base) / base) - np.log((n - real + held * (1 - base)) / (1 - base))
+    return Words(table)
+
+
+def learn(rows: list[tuple[int, str, str, int]], soft: dict[tuple[int, str], float], words: Words) -> SpanModel:
+    """A model from (type, votes, form and levels, count) rows; a type that never occurs keeps the first belief."""
     weights = []
     for t, name in enumerate(TYPES):
-        own = sorted((p, n) for i, p, n in rows if i == t)
-        if not own:
-            own = [("0" * len(LABELERS[name]), 1)]
-        patterns, counts = [p for p, _ in own], np.array([n for _, n in own], float)
-        weights.append(train(patterns, counts, estimate(patterns, counts)))
-    return SpanModel(weights)
+        own = sorted((p, f, n) for i, p, f, n in rows if i == t)
+        if own:
+            x = _features([p + f for p, f, _ in own], t)
+            weights.append(train(x, np.array([n for *_, n in own], float), np.array([soft[t, p] for p, _, _ in own])))
+        else:
+            x = np.zeros(_features(["0" * (len(LABELERS[name]) + len(FORM_LETTERS) + 2)], t).shape[1])
+            k = len(LABELERS[name])
+            x[0], x[1 : k + 1], x[k + 1 : 2 * k + 1] = -1.0, 2.0, -2.0
+            weights.append(x)
+    return SpanModel(weights, words)
 
 
 def _names_of(gazetteer: DataFrame) -> list[tuple[str, str]]:
@@ -491,47 +592,75 @@ def _names_of(gazetteer: DataFrame) -> list[tuple[str, str]]:
     return [(r.name, r.kind) for r in rows]
 
 
-def find_candidates(docs: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """The candidate spans of each document (doc_id, text) that has any; whole texts are read."""
+def find_candidates(docs: DataFrame, gazetteer: DataFrame, keep_text: bool = False) -> DataFrame:
+    """The candidate spans of each document (doc_id, text); whole texts are read. Without ``keep_text`` only documents
+    that have any are given, without their text."""
     shared = docs.sparkSession.sparkContext.broadcast(_names_of(gazetteer))
     held: list[Lexicon] = []
 
+    def spans(text: str) -> list[tuple]:
+        found = candidates(text, held[0])
+        return [(t, s, e, value_of(text[s:e]), v, form_of(text, s, e), *words_around(text, s, e)) for t, s, e, v in found]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not held:
             held.append(Lexicon(shared.value))
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                if text and (got := candidates(text, held[0])):
-                    out.append((doc_id, [(t, s, e, value_of(text[s:e]), v) for t, s, e, v in got]))
-            yield pd.DataFrame(out, columns=["doc_id", "spans"])
+                got = spans(text) if text else []
+                if got or keep_text:
+                    out.append((doc_id, text if keep_text else None, got))
+            yield pd.DataFrame(out, columns=["doc_id", "text", "spans"])
 
-    return docs.where("text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, CANDIDATES)
+    slim = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return (slim if keep_text else slim.where("text is not null")).mapInPandas(run, CANDIDATES)
+
+
+KINDS = "t int, p string, f string, n long"
 
 
 def fit(found: DataFrame) -> SpanModel:
-    """Train on the counts of all vote patterns. There are at most 3**6 patterns a type, whatever the data."""
-    rows = found.select(F.explode("spans").alias("x")).groupBy("x.t", "x.p").agg(F.count(F.lit(1)).alias("n")).collect()
-    return learn([(r["t"], r["p"], r["n"]) for r in rows])
+    """Train on counts: of vote patterns (at most 3**6 a type), of words around (WORD_BUCKETS a side and type), and of
+    kinds of spans (votes, form, levels: letters of fixed alphabets). A task adds up its own before any shuffle."""
+    spans = found.select(F.explode("spans").alias("x")).select("x.*")
+    counted = spans.groupBy("t", "p").agg(F.count(F.lit(1)).alias("n")).collect()
+    soft = soft_labels([(r["t"], r["p"], r["n"]) for r in counted])
+    label_rows = [(t, p, q) for (t, p), q in soft.items()]
+    labels = found.sparkSession.createDataFrame(label_rows, "t int, p string, q double")  # at most 3**6 a type
+    sides = F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("w")) for i, c in enumerate("ba")])
+    around = spans.groupBy("t", "p", "b", "a").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(labels), ["t", "p"])
+    around = around.select("t", "n", "q", F.explode(sides).alias("s")).select("t", "n", "q", "s.side", F.explode("s.w").alias("w"))
+    told = around.groupBy("t", "side", "w").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("q")).alias("q")).collect()
+    words = learn_words([(r["t"], r["side"], r["w"], float(r["n"]), r["q"]) for r in sorted(told)])
+
+    def kinds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter = Counter()
+        for batch in batches:
+            seen.update((x["t"], x["p"], x["f"] + words.levels(x["t"], x["b"], x["a"])) for row in batch["spans"] for x in row)
+        yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["t", "p", "f", "n"])
+
+    rows = found.select("spans").mapInPandas(kinds, KINDS).groupBy("t", "p", "f").agg(F.sum("n").alias("n")).collect()
+    return learn([(r["t"], r["p"], r["f"], r["n"]) for r in rows], soft, words)
 
 
 def personal_data(docs: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """The distinct items (doc_id, pii_type, value) of each document.
 
     Null and empty texts have none. The candidates of all documents are written once to the shared folder; the model
-    is fitted on the counts of their vote patterns and applied to them where they are.
+    is fitted on their counts and applied to them where they are.
     """
-    found = stage(find_candidates(docs, gazetteer), "pii")
-    weights = docs.sparkSession.sparkContext.broadcast(fit(found).weights)
+    found = stage(find_candidates(docs, gazetteer).drop("text"), "pii")
+    model = fit(found)
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.words.table))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = SpanModel(weights.value)
+        model = SpanModel(shared.value[0], Words(shared.value[1]))
         for batch in batches:
             out = []
             for doc_id, spans in zip(batch["doc_id"], batch["spans"], strict=True):
                 value = {(x["s"], x["e"]): x["v"] for x in spans}
-                chosen = model.choose([(x["t"], x["s"], x["e"], x["p"]) for x in spans])
-                out += [(doc_id, TYPES[t], value[(s, e)]) for t, s, e in chosen]
+                out += [(doc_id, TYPES[t], value[(s, e)]) for t, s, e in model.choose(spans)]
             yield pd.DataFrame(out, columns=["doc_id", "pii_type", "value"])
 
     return found.mapInPandas(run, FOUND).where("value <> ''").distinct().withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -540,28 +669,27 @@ def personal_data(docs: DataFrame, gazetteer: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Each document with [EMAIL], [PHONE], [ID_NUMBER], [ADDRESS] and [NAME] in place of what was found, and counts.
 
-    One row per row of ``docs``; null text stays null, all other characters stay as they are.
+    One row per row of ``docs``; null text stays null, all other characters stay as they are. Texts are searched once:
+    they are written beside their candidates to the shared folder, and the placeholders are put in from there.
     """
-    weights = docs.sparkSession.sparkContext.broadcast(fit(stage(find_candidates(docs, gazetteer), "pii")).weights)
-    shared = docs.sparkSession.sparkContext.broadcast(_names_of(gazetteer))
+    found = stage(find_candidates(docs, gazetteer, keep_text=True), "pii")
+    model = fit(found.where(F.size("spans") > 0).select("spans"))
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.words.table))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lex, model = Lexicon(shared.value), SpanModel(weights.value)
+        model = SpanModel(shared.value[0], Words(shared.value[1]))
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                if not text:
-                    out.append((doc_id, text, 0, 0, 0, 0, 0))
-                    continue
+            for doc_id, text, spans in zip(batch["doc_id"], batch["text"], batch["spans"], strict=True):
                 parts, at, n = [], 0, [0] * len(TYPES)
-                for t, s, e in model.choose(candidates(text, lex)):
+                for t, s, e in model.choose(spans) if text else ():
                     parts += [text[at:s], f"[{TYPES[t].upper()}]"]
                     at = e
                     n[t] += 1
-                out.append((doc_id, "".join(parts) + text[at:], *n))
+                out.append((doc_id, "".join(parts) + text[at:] if parts else text, *n))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in REDACTED.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, REDACTED).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return found.mapInPandas(run, REDACTED).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def p7_found(spark, sf_dir: str) -> DataFrame:

@@ -416,12 +416,44 @@ def test_em_learns_that_a_labeler_is_noise():
     q = pii.estimate(list(patterns), counts.astype(float))
     by = dict(zip(patterns, q, strict=True))
     assert by["+++-"] > 0.9 and by["---+"] < 0.1
-    w = pii.train(list(patterns), counts.astype(float), q)
+    v = np.array([["-0+".index(c) - 1 for c in p] for p in patterns])
+    w = pii.train(np.hstack([np.ones((len(v), 1)), v > 0, v < 0]).astype(float), counts.astype(float), q)
     assert abs(w[4] - w[8]) < 0.5 * abs(w[1] - w[5])  # the last labeler weighs little
     right = np.mean([(by[r] > 0.5) == t for r, t in zip(rows, truth, strict=True)])
     assert right > 0.9
 
 
+def test_the_same_kinds_are_judged_alike_at_any_size():
+    """Ten times the same spans give the same model."""
+    rng = np.random.default_rng(4)
+    kinds = {}
+    for _ in range(300):
+        real = rng.random() < 0.6
+        p = "".join(rng.choice(["-", "0", "+"], p=[0.1, 0.4, 0.5] if real else [0.5, 0.4, 0.1]) for _ in range(6))
+        k = (1, p, rng.choice(["40 nsp", "31-nsw"]) + rng.choice(["22", "42" if real else "02"]))
+        kinds[k] = kinds.get(k, 0) + 1
+
+    def model(times):
+        votes = {}
+        for (t, p, _), n in kinds.items():
+            votes[t, p] = votes.get((t, p), 0) + n * times
+        soft = pii.soft_labels([(*k, n) for k, n in votes.items()])
+        words = pii.learn_words([(1, 0, 7, 100 * times, 90.0 * times), (1, 0, 9, 100 * times, 10.0 * times)])
+        return pii.learn([(*k, n * times) for k, n in kinds.items()], soft, words)
+
+    a, b = model(1), model(10)
+    assert np.allclose(a.words.table, b.words.table) and a.words.table[1, 0, 7] > 1 > -1 > a.words.table[1, 0, 9]
+    assert all(abs(a.probability(t, p + f) - b.probability(t, p + f)) < 1e-6 for t, p, f in kinds)
+
+
+def test_form_and_words_around():
+    text = "Call Ann: 020 7946 0001, please."
+    assert pii.form_of(text, 10, 23) == "40 nsp"
+    before, behind = pii.words_around(text, 10, 23)
+    assert len(before) == 2 and len(behind) == 1 and pii.words_around("1", 0, 1) == ([], [])
+    assert len(pii.FORM_LETTERS) == len(pii.form_of("", 0, 0))
+
+
 def test_every_query_runs_on_the_smallest_data(spark, tiny):
     for name, query in queries.queries().items():
         assert query(spark, tiny).count() >= 0, name
