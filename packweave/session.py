@@ -3,25 +3,35 @@
 from __future__ import annotations
 
 import atexit
+import logging
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
+
 #: A side is broadcast only if its optimiser estimate or its counted size is at most this.
 BROADCAST_BYTES = 8 << 20
 
-_own_dirs: set[str] = set()
+_own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which all executors share; a local one only where it is unset."""
+    """The folder in ``spark.checkpoint.dir``, which all executors share. Where it is unset, a session in local mode gets
+    a temporary one; on a cluster that is an error, as executors couldn't read each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="packweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -30,26 +40,43 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: a compressed, columnar lineage cut.
 
-    The written table outlives any executor. It is removed when the Python driver ends.
+    The written table outlives any executor. It is removed by ``release``, at the end of ``staging`` or when the Python
+    driver ends; a failed write, at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/packweave/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     if not _own_dirs:
-        atexit.register(_drop_all)
-    _own_dirs.add(path)
+        atexit.register(release)
+    _own_dirs[path] = label
+    try:
+        df.write.parquet(path)
+    except BaseException:
+        release([path])
+        raise
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _drop_all() -> None:
+def release(paths: list[str] | None = None) -> None:
+    """Remove staged tables (all by default). What reads them can't be run any more. One that can't be removed is named
+    in a warning and tried again at the end."""
     spark = SparkSession.getActiveSession()
-    for path in list(_own_dirs):
+    for path in list(_own_dirs if paths is None else paths):
         try:
             jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
             jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
-        except Exception:  # the context may already be gone
-            pass
-        _own_dirs.discard(path)
+            _own_dirs.pop(path, None)
+        except Exception as e:  # the context may already be gone
+            log.warning("staged table %s stays behind: %s", path, e)
+
+
+@contextmanager
+def staging() -> Iterator[None]:
+    """Within it, results are made and written; the tables staged meanwhile are removed at its end."""
+    held = set(_own_dirs)
+    try:
+        yield
+    finally:
+        release([p for p in _own_dirs if p not in held])
 
 
 def estimated_bytes(df: DataFrame) -> int:

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -273,3 +274,31 @@ def test_locate_for_any_block(spark):
     for block in (1, 4, 1 << 20):
         rows = corpus.locate(spark.range(-2, 45).withColumnRenamed("id", "idx"), ranges, block).collect()
         assert {r.idx: (r.f, r.line) for r in rows} == want and len(rows) == 40
+
+
+def test_staged_tables_are_removed(spark, tmp_path):
+    import os
+
+    from packweave import session
+
+    root = session.shared_dir(spark).removeprefix("file://") + "/packweave"
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    with session.staging():
+        kept = session.stage(spark.range(5), "kept")
+        assert kept.count() == 5 and len(set(os.listdir(root)) - before) == 1
+        with pytest.raises(Exception, match="DIVIDE|divide|zero"):
+            session.stage(spark.range(3).selectExpr("raise_error('divide') as x"), "failed")
+        assert len(set(os.listdir(root)) - before) == 1
+    assert set(os.listdir(root)) == before
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from packweave import session
+
+    unset = SimpleNamespace(get=lambda *_: None)
+    held = SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False))
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: unset, _jsc=SimpleNamespace(sc=lambda: held))
+    with pytest.raises(RuntimeError, match="share"):
+        session.shared_dir(SimpleNamespace(conf=unset, sparkContext=context))
