@@ -44,7 +44,7 @@ def pack(shards: DataFrame, strategy: str, config: DataFrame, length: int, n_seq
         cfg = retrieval_packing.PackingConfig(length=length, **settings)
         rows = shards.select("subset", "split", "internal_idx", "token", retrieval_terms(F.col("contents")).alias("terms"))
         packed = stage(retrieval_packing.retrieval_chunks(rows, cfg), "packed")  # the kernel runs once
-        made = packing.number_blocks(packed, ["subset"], ["split", "block"], "chunk_seq", "chunk_id").select("subset", "chunk_id", "input_ids")
+        made = packing.number_blocks(packed, ["subset"], ["split"], "chunk_seq", "chunk_id").select("subset", "chunk_id", "input_ids")
     if n_sequences is None:
         return made
     return blend.blend(blend.blend_order(config, n_sequences, SEED_RETRIEVAL), made)

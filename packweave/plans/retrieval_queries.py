@@ -75,7 +75,7 @@ def _packed(s, d, **settings):
     cfg = retrieval_packing.PackingConfig(length=c.L, buffer=TEST_BUFFER, query_terms=TEST_QUERY_TERMS, **settings)
     shards = c.proc(s, d).select("subset", "split", "internal_idx", "token", retrieval_terms(F.col("contents")).alias("terms"))
     out = retrieval_packing.retrieval_chunks(shards, cfg)
-    return out.select("subset", "split", "block", "chunk_seq", joined(F.col("input_ids")).alias("ids"), joined(F.col("docs")).alias("docs"))
+    return out.select("subset", "split", "chunk_seq", joined(F.col("input_ids")).alias("ids"), joined(F.col("docs")).alias("docs"))
 
 
 def bm25chunk_star(s, d):

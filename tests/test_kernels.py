@@ -139,84 +139,141 @@ def test_blend_ends_early_or_fails(spark):
         blend.blend(order, have, strict=True).collect()
 
 
-def slow_star(tokens_, terms, cfg):
-    """The defragmentation loop, step by step, scoring from scratch."""
-    n = len(terms)
-    df = {}
-    for t in terms:
-        for w in set(t):
-            df[w] = df.get(w, 0) + 1
-    mean = sum(map(len, terms)) / n
-
-    def score(q, d):
-        s = 0.0
-        for w in set(terms[q]):
-            tf = terms[d].count(w)
-            if tf:
-                idf = np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5))
-                s += terms[q].count(w) * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(terms[d]) / mean))
-        return round(s, 6)
-
-    out, buffer = [], {}
-
-    def pack():
-        seed = min(buffer)
-        rest = [d for d in buffer if d != seed]
-        used, ids = [seed], list(buffer[seed])
-        while len(ids) < cfg.length and rest:
-            hit = max(rest, key=lambda d: (score(seed, d), -d))
-            d = hit if score(seed, hit) > 0 else min(rest)
-            rest.remove(d)
-            used.append(d)
-            ids += list(buffer[d])
-        if len(ids) < cfg.length:
+def loop_score(terms, q, d):
+    """BM25 of document d for the text of q, from scratch, with the counts of all documents."""
+    n, mean, s = len(terms), sum(map(len, terms.values())) / len(terms), 0.0
+    for w in set(terms[q]):
+        tf = terms[d].count(w)
+        if tf:
+            df = sum(w in t for t in terms.values())
+            idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+            s += terms[q].count(w) * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(terms[d]) / mean))
+    return round(s, 6)
+
+
+def loop_packing(docs, cfg):
+    """The buffering loop one step at a time: documents are (id, tokens, terms), in packing order."""
+    terms = {i: t for i, _, t in docs}
+    out, buffer = [], []
+    rng = np.random.RandomState(cfg.seed)
+
+    def search(query, ids, most):
+        scored = sorted(((-loop_score(terms, query, i), i) for i in ids))
+        return [i for s, i in scored if s < 0][:most]
+
+    def one():
+        nonlocal buffer
+        held = list(buffer)
+        k = cfg.chains if cfg.mode == "chain" else 1
+        current = [held.pop(0) for _ in range(k)]
+        chains = [[c] for c in current]
+        have = sum(len(t) for _, t in current)
+        place = {i: x for x, (i, _) in enumerate(held)}
+        rest = sorted(place)
+        waiting, step = [], 0
+        while have < cfg.length and rest:
+            got = []
+            for c in range(k):
+                asks = chains[0][0] if cfg.mode == "star" else current[c]
+                hits = search(asks[0], rest, k) or [rest[0]]
+                got.append(next((h for h in hits if h not in got), None))
+            for c, hit in enumerate(got):
+                if hit is None:
+                    continue
+                rest.remove(hit)
+                current[c] = held[place[hit]]
+                if cfg.mode == "chain" and cfg.drop_mid and step % 2 == 0:
+                    waiting.append(hit)
+                    continue
+                chains[c].append(held[place[hit]])
+                have += len(held[place[hit]][1])
+                if have >= cfg.length:
+                    break
+            step += 1
+        if have < cfg.length:
             return False
-        for d in used:
-            del buffer[d]
-        if len(ids) - cfg.length >= 2:
-            buffer[used[-1]] = ids[cfg.length :]
-        out.append((ids[: cfg.length], used))
+        buffer = [held[place[i]] for i in rest + waiting]
+        labels = [c for c in range(k) for _ in chains[c]]
+        if k == 2:
+            rng.shuffle(labels)
+        each = [iter(c) for c in chains]
+        order = [next(each[c]) for c in labels]
+        flat = [t for _, ids in order for t in ids]
+        if len(flat) - cfg.length >= 2:
+            buffer.append((order[-1][0], flat[cfg.length :]))
+        out.append((flat[: cfg.length], [i for i, _ in order]))
         return True
 
-    for d, t in enumerate(tokens_):
-        t = [*t, 2]
-        while len(t) >= cfg.length:
-            out.append((t[: cfg.length], [d]))
-            t = t[cfg.length :]
-        if len(t) > 1:
-            buffer[d] = t
-        while len(buffer) >= cfg.buffer and pack():
-            pass
-    while len(buffer) > 1 and pack():
+    for i, t, _ in docs:
+        whole = [*t, 2]
+        while len(whole) >= cfg.length:
+            out.append((whole[: cfg.length], [i]))
+            whole = whole[cfg.length :]
+        kept = list(t) if cfg.compat else whole
+        if len(kept) > 1:
+            buffer.append((i, kept))
+        while len(buffer) >= cfg.buffer:
+            if not one():
+                if cfg.compat:
+                    return out
+                break
+    while len(buffer) > 1 and one():
         pass
     return out
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.integers(0, 10**6))
-def test_star_packing_equals_the_loop(seed):
+def _random_shard(r, n):
+    order = r.sample(range(100), n)
+    docs = [(i, [1000 * i + k + 3 for k in range(r.choice([0, 1, r.randint(0, 30)]))], [r.choice("abcdefghij") for _ in range(r.randint(0, 8))]) for i in order]
+    return docs if any(t for *_, t in docs) else [(i, t, ["a"]) for i, t, _ in docs]
+
+
+def _kernel(docs, cfg, segment):
+    return [(x.tolist(), u) for x, u in retrieval_packing.pack_shard([(i, np.array(t, np.int64), np.array([ord(c) for c in w], np.int64)) for i, t, w in docs], cfg, segment)]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 10**6), st.booleans(), st.sampled_from([1, 3, 100]))
+def test_star_packing_equals_the_loop(seed, compat, segment):
     r = random.Random(seed)
-    words = "abcdefghij"
-    n = r.randint(2, 25)
-    toks = [[r.randint(3, 50) for _ in range(r.choice([0, 1, r.randint(0, 30)]))] for _ in range(n)]
-    terms = [[r.choice(words) for _ in range(r.randint(1, 8))] for _ in range(n)]
-    cfg = retrieval_packing.PackingConfig(length=16, buffer=5, query_terms=100)
-    got = [(x.tolist(), u) for x, u in retrieval_packing.pack_block(toks, terms, cfg)]
-    assert got == slow_star(toks, terms, cfg)
-
-
-@settings(max_examples=40, deadline=None)
-@given(st.integers(0, 10**6), st.sampled_from([1, 2]), st.booleans())
-def test_chain_packing_invents_and_repeats_nothing(seed, chains, drop):
+    docs = _random_shard(r, r.randint(2, 25))
+    cfg = retrieval_packing.PackingConfig(length=16, buffer=5, query_terms=100, compat=compat)
+    assert _kernel(docs, cfg, segment) == loop_packing(docs, cfg)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from([1, 2]), st.booleans(), st.sampled_from([1, 100]))
+def test_chain_packing_equals_the_loop(seed, chains, drop, segment):
     r = random.Random(seed)
-    n = r.randint(2, 25)
-    toks = [[1000 * d + k + 3 for k in range(r.randint(0, 30))] for d in range(n)]
-    terms = [[r.choice("abcdef") for _ in range(r.randint(0, 8))] for _ in range(n)]
-    cfg = retrieval_packing.PackingConfig(length=16, buffer=5, mode="chain", chains=chains, drop_mid=drop)
-    rows = retrieval_packing.pack_block(toks, terms, cfg)
-    assert all(len(x) == 16 for x, _ in rows)
-    used = [int(t) for x, _ in rows for t in x if t != 2]
-    assert len(used) == len(set(used)) and set(used) <= {t for d in toks for t in d}
+    docs = _random_shard(r, r.randint(2, 25))
+    cfg = retrieval_packing.PackingConfig(length=16, buffer=5, query_terms=100, mode="chain", chains=chains, drop_mid=drop)
+    got = _kernel(docs, cfg, segment)
+    assert got == loop_packing(docs, cfg)
+    used = [t for x, _ in got for t in x if t != 2]
+    assert len(used) == len(set(used)) and all(len(x) == 16 for x, _ in got)
+
+
+def test_leftover_waits_behind_the_rest():
+    """What is cut off a document goes behind the others, though its id is the lowest."""
+    docs = [(5, [51] * 9, ["x"]), (1, [11] * 9, ["x"]), (7, [71] * 9, ["z"]), (8, [81] * 9, ["z"])]
+    cfg = retrieval_packing.PackingConfig(length=15, buffer=4, query_terms=9)
+    assert [u for _, u in _kernel(docs, cfg, 10)] == [[5, 1], [7, 8]]
+
+
+def test_retrieval_chunks_of_shards_equal_the_kernel(spark):
+    r = random.Random(4)
+    shards = {("a", 0): _random_shard(r, 40), ("a", 1): _random_shard(r, 3), ("b", 0): _random_shard(r, 60), ("c", 0): [(1, [], [])]}
+    rows = [(s, k, i, t or None, w, "x") for (s, k), docs in shards.items() for i, t, w in docs]
+    df = spark.createDataFrame(rows, "subset string, split int, internal_idx long, token array<int>, terms array<string>, kind string").repartition(5)
+    cfg = retrieval_packing.PackingConfig(length=16, buffer=6, query_terms=100)
+    out = retrieval_packing.retrieval_chunks(df, cfg, 7).collect()
+    import hashlib
+
+    for (s, k), docs in shards.items():
+        ordered = sorted(docs, key=lambda d: hashlib.md5(f"{cfg.seed}-{d[0]}".encode()).hexdigest())
+        got = sorted([x for x in out if (x.subset, x.split) == (s, k)], key=lambda x: x.chunk_seq)
+        assert [(x.input_ids, x.docs) for x in got] == loop_packing(ordered, cfg) and [x.chunk_seq for x in got] == list(range(len(got)))
+    assert retrieval_packing.retrieval_chunks(df.limit(0), cfg).count() == 0
 
 
 def test_search_prefers_and_restricts(spark):
