@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import string
 import unicodedata
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
@@ -123,6 +124,12 @@ def porter_stem(word: str) -> str:
     return w
 
 
+@F.pandas_udf(T.ArrayType(T.StructType().add("term", T.StringType()).add("tf", T.IntegerType())))
+def term_counts(terms: pd.Series) -> pd.Series:
+    """How often each term stands in a row's array; null: none."""
+    return pd.Series([[{"term": t, "tf": n} for t, n in Counter(x).items()] if x is not None else [] for x in terms])
+
+
 _STEMS: dict[str, str] = {}
 _STEMS_KEPT = 500_000
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import EOS_ID
 
@@ -47,3 +50,19 @@ def order_key(seed: int, *keys: Column) -> Column:
 
 def round_half_even(x: Column) -> Column:
     return F.rint(x).cast("bigint")
+
+
+@F.pandas_udf(T.ArrayType(T.StructType().add("token", T.IntegerType()).add("cnt", T.LongType())))
+def id_counts(ids: pd.Series) -> pd.Series:
+    """How often each id stands in a row's array, ids in rising order; null: none."""
+    out = []
+    for x in ids:
+        token, cnt = np.unique(x if x is not None else np.zeros(0, np.int32), return_counts=True)
+        out.append([{"token": t, "cnt": c} for t, c in zip(token.tolist(), cnt.tolist(), strict=True)])
+    return pd.Series(out)
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def running_sums(numbers: pd.Series) -> pd.Series:
+    """The sums of each array up to every place; null: null."""
+    return pd.Series([None if x is None else np.cumsum(x, dtype=np.int32) for x in numbers])

@@ -6,22 +6,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EOS_ID
+from ..functions.tokens import id_counts
 from ..functions.zeta import zipf_exponent, zipf_grid_exponent
 
 
 def token_histogram(chunks: DataFrame, unit: list[str]) -> DataFrame:
-    """Count of each token id per unit; counts are added within a row's task before the shuffle."""
-    return chunks.select(*unit, F.explode("input_ids").alias("token")).groupBy(*unit, "token").agg(F.count(F.lit(1)).alias("cnt"))
+    """Count of each token id per unit. A unit is one row, so its ids are counted where they are, without a shuffle."""
+    counted = chunks.select(*unit, id_counts("input_ids").alias("_c"))
+    return counted.select(*unit, F.explode("_c").alias("_x")).select(*unit, "_x.token", "_x.cnt")
 
 
-def zipf_statistics(histogram: DataFrame, unit: list[str]) -> DataFrame:
-    """Per unit: number of different tokens and sum of the logarithms of their counts, all that the fit needs."""
-    ln = F.log("cnt").cast("decimal(28,12)")
-    return histogram.groupBy(*unit).agg(F.count(F.lit(1)).alias("n"), F.sum(ln).cast("double").alias("log_sum"))
+def zipf_statistics(chunks: DataFrame, unit: list[str]) -> DataFrame:
+    """Per unit (a row): number of different tokens and sum of the logarithms of their counts, all that the fit needs."""
+    counted = chunks.where(F.size("input_ids") > 0).select(*unit, id_counts("input_ids").alias("_c"))
+    exact = "decimal(38,12)"
+    total = F.aggregate("_c", F.lit(0).cast(exact), lambda a, x: (a + F.log(x["cnt"]).cast("decimal(28,12)")).cast(exact))
+    return counted.select(*unit, F.size("_c").cast("bigint").alias("n"), total.cast("double").alias("log_sum"))
 
 
 def zipf_grid(stats: DataFrame, unit: list[str]) -> DataFrame:
@@ -114,3 +118,32 @@ def document_pairs(docs: DataFrame, doc1_len: int, doc2_len: int, separator: lis
             yield pd.DataFrame(out, columns=["stream", "pair_no", "input_ids"])
 
     return docs.select("stream", "ord", "token").repartition("stream").sortWithinPartitions("stream", "ord").mapInPandas(run, PAIRS)
+
+
+def document_pairs_of_two(first: DataFrame, docs: DataFrame, doc1_len: int, doc2_len: int, separator: list[int], most: int | None = None) -> DataFrame:
+    """Pairs whose first document comes from another table: the k-th group of ``first`` (stream, ord, token) that reaches
+    ``doc1_len`` ids, its last ``doc1_len`` kept, before the first ``doc2_len`` ids of the k-th document of ``docs`` that
+    with the separator has more than that. Streams are independent; pairs end with the shorter side."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sep = np.array(separator, np.int64)
+        stream, head, made = None, np.zeros(0, np.int64), 0
+        for batch in batches:
+            out = []
+            for s, token in zip(batch["stream"], batch["token"], strict=True):
+                if s != stream:
+                    stream, head, made = s, np.zeros(0, np.int64), 0
+                head = np.concatenate([head, np.asarray(token if token is not None else [], np.int64), sep])
+                if len(head) >= doc1_len:
+                    out.append((s, made, head[-doc1_len:].astype("int32")))
+                    head, made = np.zeros(0, np.int64), made + 1
+            yield pd.DataFrame(out, columns=["stream", "pair_no", "input_ids"])
+
+    heads = first.select("stream", "ord", "token").repartition("stream").sortWithinPartitions("stream", "ord").mapInPandas(run, PAIRS)
+    ids = F.concat(F.coalesce("token", F.array().cast("array<int>")), F.array(*[F.lit(x) for x in separator]))
+    long = docs.select("stream", "ord", ids.alias("_ids")).where(F.size("_ids") >= doc2_len + 1)
+    place = F.row_number().over(Window.partitionBy("stream").orderBy("ord")) - 1
+    seconds = long.select("stream", place.cast("bigint").alias("pair_no"), F.slice("_ids", 1, doc2_len).alias("_second"))
+    pairs = heads.join(seconds, ["stream", "pair_no"])
+    pairs = pairs if most is None else pairs.where(F.col("pair_no") < most)
+    return pairs.select("stream", "pair_no", F.concat("input_ids", "_second").alias("input_ids"))

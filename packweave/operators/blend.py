@@ -37,7 +37,7 @@ def blend(order: DataFrame, chunks: DataFrame, workers: int = 1, strict: bool =
         missing = F.when(F.col("_c").isNull(), F.raise_error(F.concat(F.lit("no sequence left in "), F.col("subset"))))
         return got.withColumn("pos", F.coalesce(missing, F.col("pos"))).drop("_s", "_c")
     ends = got.where("_c is null").groupBy("worker").agg(F.min("pos").alias("_end"))
-    kept = got.join(F.broadcast(ends), "worker", "left")  # a row per worker
+    kept = got.join(small(ends), "worker", "left")  # a row per worker
     return kept.where(F.col("_end").isNull() | (F.col("pos") < F.col("_end"))).drop("_s", "_c", "_end")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,9 +31,10 @@ def require_members(docs: DataFrame, column: str, names: list[str]) -> DataFrame
     return docs.withColumn(column, F.when(bad, F.raise_error(F.concat(F.lit("unknown subset: "), F.coalesce(F.col(column), F.lit("null"))))).otherwise(F.col(column)))
 
 
-def tokenized(docs: DataFrame) -> DataFrame:
-    """Add ``token`` by the word-hash tokenizer."""
-    return docs.withColumn("token", hash_tokens(F.col("text")))
+def tokenized(docs: DataFrame, tokenizer: Callable[[Column], Column] = hash_tokens) -> DataFrame:
+    """Add ``token`` by ``tokenizer``, a function from text to ids such as ``readers.sentence_pieces`` makes; by default
+    the word-hash tokenizer."""
+    return docs.withColumn("token", tokenizer(F.col("text")))
 
 
 def budget_sample(docs: DataFrame, config: DataFrame, total: int, seed: int, chunks: int = 10) -> DataFrame:
@@ -65,24 +68,44 @@ def assign_shards(docs: DataFrame, config: DataFrame, total: int, seed: int, max
     kept = running_min_before(kept, ["subset"], "run_pos", "_lead", "_least")
     j = F.col("run_pos")
     split = F.when(j == 0, 0).otherwise(F.least(j, j - 1 + F.col("_least"))).cast("int")
-    numbered = kept.withColumn("split", split)
-    first = Window.partitionBy("subset", "split").orderBy("run_pos")
-    return numbered.withColumn("internal_idx", (F.row_number().over(first) - 1).cast("bigint")).drop("_n", "_key", "_target", "_each", "_lead", "_least")
+    numbered = kept.withColumn("split", split).drop("_n", "_key", "_target", "_each", "_lead", "_least")
+    # a shard's documents follow each other, so its first place is all it takes to number them: one row per shard
+    first = numbered.groupBy(F.col("subset").alias("_s"), F.col("split").alias("_p")).agg(F.min("run_pos").alias("_first"))
+    placed = numbered.join(small(first), F.col("subset").eqNullSafe(F.col("_s")) & (F.col("split") == F.col("_p")))
+    return placed.withColumn("internal_idx", (F.col("run_pos") - F.col("_first")).cast("bigint")).drop("_s", "_p", "_first")
 
 
 def latest_delivery(processed: DataFrame) -> DataFrame:
-    """One row per (subset, split, internal_idx): the delivery written last; of equal times the highest row_id."""
+    """One row per (subset, split, internal_idx): the delivery written last; of equal times the highest row_id.
+
+    The choice is made on ids and times; rows delivered again later, of which there are few, are then left out.
+    """
     keep = ["subset", "split", "internal_idx"]
-    rest = [c for c in processed.columns if c not in keep]
-    best = F.max_by(F.struct(*rest), F.struct(F.coalesce("written_at", F.lit("1900-01-01").cast("timestamp")), "row_id")).alias("_r")
-    return processed.groupBy(*keep).agg(best).select(*keep, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    at = F.coalesce("written_at", F.lit("1900-01-01").cast("timestamp"))
+    newest = Window.partitionBy(*keep).orderBy(at.desc(), F.col("row_id").desc())
+    slim = processed.select(*keep, "written_at", "row_id").withColumn("_r", F.row_number().over(newest))
+    late = slim.where("_r > 1").select(F.col("row_id").alias("_late"))
+    kept = processed.join(late, F.col("row_id") == F.col("_late"), "left_anti")
+    return kept.select(*keep, *[c for c in processed.columns if c not in keep])
+
+
+#: Lines whose offsets are added up together.
+LINE_BLOCK = 1 << 16
 
 
 def line_offsets(rows: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
-    """Byte offset of each line, were the rows of ``keys`` lines of one file; null text is an empty line."""
-    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    """Byte offset (keys, order, ``byte_offset``) of each line, were the rows of ``keys`` lines of one file in the order
+    of the whole number ``order``; null text is an empty line. Only sizes are ordered and added up, in blocks of lines."""
     size = F.coalesce(F.octet_length(text), F.lit(0)) + 1
-    return rows.withColumn("byte_offset", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("bigint"))
+    slim = rows.select(*keys, order, size.cast("bigint").alias("_size"))
+    run = running(slim, keys, [order], F.col("_size"), prefix="line", bucket=F.floor(F.col(order) / LINE_BLOCK))
+    return run.select(*keys, order, F.col("line_before").alias("byte_offset"))
+
+
+def renumbered(rows: DataFrame, keys: list[str], order: str, out: str) -> DataFrame:
+    """Add ``out``: gapless numbers within ``keys`` in the order of the whole number ``order``, in blocks of rows."""
+    run = running(rows, keys, [order], F.lit(0), prefix="line", bucket=F.floor(F.col(order) / LINE_BLOCK))
+    return run.withColumnRenamed("line_pos", out).drop("line_before")
 
 
 def file_ranges(rows: DataFrame, keys: list[str]) -> DataFrame:

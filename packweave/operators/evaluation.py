@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import TASK_LABELS
 from ..functions.text import normalized_answer_ascii, normalized_prediction, stripped
+from ..session import small
 from .ordering import sample
 
 
@@ -20,7 +21,7 @@ def label_name(task: Column, label: Column) -> Column:
     return F.try_element_at(F.element_at(table, task), label + 1)
 
 
-# Formats of each task: a demonstration, and the query behind the demonstrations; {x} stand for fields.
+# Formats of each task, a demonstration, and the query behind the demonstrations; {x} stand for fields.
 CLASS_FORMATS = {
     "agnews": ("Article: {text} Category: {label}\n\n", "Article: {text} Category:"),
     "amazon": ("Title: {title}. Content: {content} Sentiment: {label}\n\n", "Title: {title}. Content: {content} Sentiment:"),
@@ -67,7 +68,7 @@ def demonstrations(train: DataFrame, group: list[str], key: str, n: int, seed: i
 
 def prompts(test: DataFrame, demos: DataFrame, group: list[str], text: Column) -> DataFrame:
     """Test rows with ``prompt``: the demonstrations of their group, then their own text. One small row per group."""
-    joined = test.join(F.broadcast(demos), group, "left")
+    joined = test.join(small(demos), group, "left")
     return joined.withColumn("prompt", F.concat(F.coalesce("demos", F.lit("")), text)).drop("demos")
 
 
@@ -97,8 +98,3 @@ def label_accuracy(predictions: DataFrame, tests: DataFrame, group: list[str]) -
 def result_log(results: DataFrame) -> DataFrame:
     """One JSON line per result, keys in the order of the columns."""
     return results.select(F.to_json(F.struct(*results.columns)).alias("line"))
-
-
-def class_prompt_fields(task_text: Column, label: Column | None = None) -> dict[str, Column]:
-    body = stripped(task_text)
-    return {"text": body, "title": stripped(F.element_at(F.split(body, " "), 1)), "content": body} | ({"label": label} if label is not None else {})

@@ -1,7 +1,8 @@
 """Fixed orders, positions in them and running sums, without a window over all rows.
 
-The order of a table is that of an md5 key. Its first hex digits cut the order into buckets of like size; totals per
-bucket (few rows) are summed up first, then each bucket's own rows. One partition never holds a whole group.
+The order of a table is that of an md5 key. Its first hex digits cut the order into buckets of like size, as many as the
+table's size asks for; totals per bucket (few rows) are summed up first, then each bucket's own rows. One partition never
+holds a whole group.
 """
 
 from __future__ import annotations
@@ -10,21 +11,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import order_key
-from ..session import small
+from ..session import estimated_bytes, small
 
-#: 16 ** digits buckets per group.
-BUCKET_DIGITS = 2
+#: There are 16 ** digits buckets per group, from LEAST_DIGITS to MOST_DIGITS, so that each has about BUCKET_BYTES.
+LEAST_DIGITS, MOST_DIGITS = 2, 5
+BUCKET_BYTES = 64 << 20
+
+
+def bucket_digits(df: DataFrame) -> int:
+    """Digits for buckets of about BUCKET_BYTES, by the optimiser's estimate; results don't depend on them."""
+    size, digits = estimated_bytes(df), LEAST_DIGITS
+    while digits < MOST_DIGITS and size > BUCKET_BYTES * 16**digits:
+        digits += 1
+    return digits
 
 
 def running(
-    df: DataFrame, keys: list[str], order: list[str], size: Column, digits: int = BUCKET_DIGITS, prefix: str = "run"
+    df: DataFrame, keys: list[str], order: list[str], size: Column, digits: int | None = None, prefix: str = "run", bucket: Column | None = None
 ) -> DataFrame:
     """Add ``{prefix}_pos`` (0-based position) and ``{prefix}_before`` (sum of ``size`` over the rows before) within ``keys``.
 
-    ``order[0]`` is a hex string such as ``order_key`` gives; ties go by the other columns. Null sizes count 0.
+    ``order[0]`` is a hex string such as ``order_key`` gives, or ``bucket`` tells the buckets in rising order; ties go by
+    the other columns. Null sizes count 0.
     """
     b, n = f"_{prefix}_b", f"_{prefix}_n"
-    df = df.withColumn(b, F.substring(order[0], 1, digits)).withColumn(n, F.coalesce(size.cast("bigint"), F.lit(0)))
+    bucket = F.substring(order[0], 1, digits or bucket_digits(df)) if bucket is None else bucket
+    df = df.withColumn(b, bucket).withColumn(n, F.coalesce(size.cast("bigint"), F.lit(0)))
     # Both levels end up hash-partitioned; bucket totals are at most 16 ** digits rows per group.
     upto = Window.partitionBy(*keys, *([] if keys else [F.lit(0)])).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     totals = df.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("_c"), F.sum(n).alias("_s"))
@@ -61,7 +73,7 @@ def running_min_before(df: DataFrame, keys: list[str], pos: str, value: str, out
     return joined.withColumn(out, F.least("_in", "_m0")).drop("_blk", "_in", "_kb", "_m0", *[f"_k{i}" for i in range(len(keys))])
 
 
-def shuffled(df: DataFrame, seed: int, key: str, digits: int = BUCKET_DIGITS) -> DataFrame:
+def shuffled(df: DataFrame, seed: int, key: str, digits: int | None = None) -> DataFrame:
     """Add ``pos``, the row's 0-based place in the fixed pseudo-random order of ``seed``."""
     keyed = df.withColumn("_key", order_key(seed, F.col(key)))
     out = running(keyed, [], ["_key", key], F.lit(0), digits, "shuffle")

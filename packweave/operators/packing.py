@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import BATCH_ROWS, BATCHES_PER_DIR, EOS_ID, IGNORE_ID, MAX_EOS, PAD_ID
-from ..functions.tokens import eos_count, order_key
+from ..functions.tokens import eos_count, order_key, running_sums
 from ..session import small
-from .ordering import running
+from .ordering import running, strided
 
 
 def document_spans(docs: DataFrame, length: int, seed: int, keys: list[str] | None = None, key: str = "doc_id") -> DataFrame:
@@ -40,6 +40,17 @@ def concat_chunks(docs: DataFrame, length: int, seed: int, keys: list[str] | Non
     return chunks.where(F.size("input_ids") == length)
 
 
+def full_chunks(sizes: DataFrame, length: int) -> DataFrame:
+    """One row: ``n_chunks``, the number of full sequences that ``concat_chunks`` makes of documents of ``n_tokens``."""
+    return sizes.agg(F.floor(F.coalesce(F.sum("n_tokens"), F.lit(0)) / length).cast("bigint").alias("n_chunks"))
+
+
+def worker_items(chunks: DataFrame, pos: str, workers: int, most: int = MAX_EOS) -> DataFrame:
+    """Stored sequences as workers read them: sequence i (by ``pos``, over all of them) is worker i % W's; those with
+    more than ``most`` end marks are passed over, which leaves the others' numbers and workers as they are."""
+    return few_fragments(strided(chunks, pos, workers), most)
+
+
 def pad_chunks(docs: DataFrame, length: int, pad: int = PAD_ID, ignore: int = IGNORE_ID) -> DataFrame:
     """Sequences of single documents: full pieces, then the rest padded; a rest of one id is dropped.
 
@@ -94,17 +105,12 @@ def cumulative_boundaries(chunks: DataFrame, batch: Column, order: str = "chunk_
     rows = with_fragments(chunks).withColumn("batch", batch)
     gathered = rows.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("fragment_lens").alias("l")))).alias("_g"))
     lens = F.flatten(F.transform("_g", lambda x: x["l"]))
-    sums = F.aggregate(lens, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    return gathered.select("batch", sums.alias("cu_seqlens"), F.array_max(lens).alias("max_seqlen"))
+    return gathered.select("batch", running_sums(F.concat(F.array(F.lit(0)), lens)).alias("cu_seqlens"), F.array_max(lens).alias("max_seqlen"))
 
 
 def position_ids(mask: Column) -> Column:
     """Positions of a padded sequence: running count of kept places minus one, 1 where masked."""
-    state = F.aggregate(
-        mask, F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("out")),
-        lambda a, m: F.struct((a["n"] + m).alias("n"), F.concat(a["out"], F.array(F.when(m == 0, F.lit(1)).otherwise(a["n"] + m - 1))).alias("out")),
-    )
-    return state["out"]
+    return F.zip_with(mask, running_sums(mask), lambda m, n: F.when(m == 0, F.lit(1)).otherwise(n - 1))
 
 
 def shifted_labels(ids: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import BM25_B, BM25_K1
+from ..functions.text import term_counts
 from ..functions.tokens import order_key
 from ..session import small
 
@@ -16,7 +17,7 @@ SCORE = "decimal(24,9)"
 
 @dataclass
 class Index:
-    postings: DataFrame  # shard, term, doc, tf
+    postings: DataFrame  # shard, term, doc, tf, dl, and the columns kept
     docs: DataFrame  # shard, doc, dl, rel_dl
     shards: DataFrame  # shard, n_docs, avgdl
     terms: DataFrame  # shard, term, df
@@ -30,22 +31,27 @@ class Index:
         return cls(*[spark.read.parquet(f"{path}/{n}") for n in ("postings", "docs", "shards", "terms")])
 
 
-def build_index(collection: DataFrame) -> Index:
-    """Index ``collection`` (shard, doc, terms). Counts per (document, term) are local to a document's row before the
-    shuffle; a document with no terms counts with length 0."""
-    # a document's own terms are counted within its row, so a frequent term or large shard is never gathered
-    counted = collection.select("shard", "doc", F.size("terms").alias("dl"), F.explode_outer("terms").alias("term"))
-    postings = counted.where("term is not null").groupBy("shard", "doc", "term").agg(F.count(F.lit(1)).cast("int").alias("tf")).select("shard", "term", "doc", "tf")
+def build_index(collection: DataFrame, keep: list[str] | None = None) -> Index:
+    """Index ``collection`` (shard, doc, terms); a document with no terms counts with length 0.
+
+    A document's terms are counted within its row, so postings need no shuffle and a frequent term or large shard is
+    never gathered; they carry the document's length and the columns ``keep``. Only document frequencies are shuffled,
+    added up in each task before.
+    """
+    keep = keep or []
+    counted = collection.select("shard", "doc", *keep, F.size("terms").cast("int").alias("dl"), F.explode(term_counts("terms")).alias("_t"))
+    postings = counted.select("shard", "_t.term", "doc", "_t.tf", "dl", *keep)
     lens = collection.select("shard", "doc", F.size("terms").cast("int").alias("dl"))
     shards = lens.groupBy("shard").agg(F.count(F.lit(1)).alias("n_docs"), (F.sum("dl") / F.count(F.lit(1))).alias("avgdl"))
-    docs = lens.join(F.broadcast(shards.select("shard", "avgdl")), "shard").select("shard", "doc", "dl", (F.col("dl") / F.col("avgdl")).alias("rel_dl"))
+    docs = lens.join(small(shards.select("shard", "avgdl")), "shard").select("shard", "doc", "dl", (F.col("dl") / F.col("avgdl")).alias("rel_dl"))
     terms = postings.groupBy("shard", "term").agg(F.count(F.lit(1)).alias("df"))
     return Index(postings, docs, shards, terms)
 
 
 def query_terms(queries: DataFrame, limit: int, seed: int) -> DataFrame:
-    """At most ``limit`` terms of each query (shard, query, terms), chosen by a fixed hash of place and term."""
-    rows = queries.select("shard", "query", F.posexplode("terms").alias("place", "term"))
+    """At most ``limit`` terms of each query (shard, query, terms, other columns), chosen by a fixed hash of place and term."""
+    keep = [c for c in queries.columns if c not in ("shard", "query", "terms")]
+    rows = queries.select("shard", "query", *keep, F.posexplode("terms").alias("place", "term"))
     key = order_key(seed, F.col("query"), F.col("place"), F.col("term"))
     rank = F.row_number().over(Window.partitionBy("shard", "query").orderBy("_key", "place"))
     return rows.withColumn("_key", key).withColumn("_r", rank).where(F.col("_r") <= limit).drop("_r", "_key")
@@ -60,23 +66,38 @@ def tfidf_weight(tf: Column, df: Column, n: Column) -> Column:
     return tf * F.log(n / df)
 
 
+#: A term's postings are spread over so many parts of the join; each asked term is repeated for every one.
+SALTS = 16
+
+
 def search(
-    index: Index, asked: DataFrame, k: int, method: str = "bm25", candidates: DataFrame | None = None
+    index: Index, asked: DataFrame, k: int, method: str = "bm25", candidates: DataFrame | None = None, within: list[str] | None = None, salts: int = SALTS
 ) -> DataFrame:
     """The ``k`` best documents per query of its own shard, with rank and score; ties go to the lower document.
 
     ``asked``: (shard, query, term), a term counting as often as it stands there. ``candidates`` (shard, query, doc)
-    restricts the documents before scoring. Only documents with a score above 0 are hits. Scores are added as
-    decimals, so the order of addition doesn't matter.
+    restricts the documents; postings of no candidate are left out before they meet the queries. ``within``: columns of
+    ``asked`` that the index keeps; only other documents that have them equal are looked at. Frequencies and lengths stay
+    those of the whole shard. Only documents with a score above 0 are hits. Scores are added as decimals, so the order of
+    addition doesn't matter.
+
+    Queries, which are few beside postings, are repeated for ``salts`` parts of each term, so the postings of a frequent
+    term meet them in as many tasks.
     """
-    wanted = asked.groupBy("shard", "query", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    weighted = wanted.join(index.terms, ["shard", "term"]).join(F.broadcast(index.shards.select("shard", "n_docs")), "shard")  # a row per shard
-    hits = weighted.join(index.postings, ["shard", "term"])
+    within = within or []
+    wanted = asked.groupBy("shard", "query", "term", *within).agg(F.count(F.lit(1)).alias("qtf"))
+    weighted = wanted.join(index.terms, ["shard", "term"]).join(small(index.shards), "shard")
+    weighted = weighted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    postings = index.postings.select("shard", "term", "doc", "tf", "dl", *within)
+    if candidates is not None:
+        postings = postings.join(candidates.select("shard", "doc").distinct(), ["shard", "doc"], "left_semi")
+    hits = weighted.join(postings.withColumn("_salt", F.pmod(F.xxhash64("doc"), F.lit(salts)).cast("int")), ["shard", "term", *within, "_salt"])
+    if within:
+        hits = hits.where("doc <> query")
     if candidates is not None:
         hits = hits.join(candidates.select("shard", "query", "doc"), ["shard", "query", "doc"], "left_semi")
     if method == "bm25":
-        hits = hits.join(index.docs.select("shard", "doc", "rel_dl"), ["shard", "doc"])
-        weight = bm25_weight(F.col("tf"), F.col("df"), F.col("n_docs"), F.col("rel_dl"))
+        weight = bm25_weight(F.col("tf"), F.col("df"), F.col("n_docs"), F.col("dl") / F.col("avgdl"))
     else:
         weight = tfidf_weight(F.col("tf"), F.col("df"), F.col("n_docs"))
     scored = hits.groupBy("shard", "query", "doc").agg(F.sum((F.col("qtf") * weight).cast(SCORE)).alias("_s"))

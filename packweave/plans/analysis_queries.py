@@ -21,7 +21,7 @@ def token_hist(s, d):
 
 
 def _stats(s, d):
-    return analysis.zipf_statistics(token_hist(s, d), ["chunk_id"])
+    return analysis.zipf_statistics(c.mix(s, d), ["chunk_id"])
 
 
 def zipf_stats(s, d):
@@ -34,7 +34,7 @@ def zipf_grid(s, d):
 
 def _masked(s, d):
     frag = analysis.fragments(c.mix(s, d))
-    return analysis.zipf_statistics(analysis.token_histogram(frag, ["chunk_id", "fragment"]), ["chunk_id", "fragment"])
+    return analysis.zipf_statistics(frag, ["chunk_id", "fragment"])
 
 
 def zipf_masked(s, d):
@@ -110,8 +110,21 @@ def distraction_baseline(s, d):
 
 
 def doc_pairs(s, d):
-    rows = c.tok(s, d).select(F.col("subset").alias("stream"), order_key(42, F.col("doc_id")).alias("ord"), "token")
-    out = analysis.document_pairs(rows, 128, 64, [13])
+    """Pairs within 16 streams of each subset, so that no subset is read by one task."""
+    out = analysis.document_pairs(_streams(s, d), 128, 64, [13])
+    return out.select("stream", "pair_no", joined(F.col("input_ids")).alias("ids"))
+
+
+def _streams(s, d):
+    key = order_key(42, F.col("doc_id"))
+    return c.tok(s, d).select(F.concat_ws("-", "subset", F.substring(key, 1, 1)).alias("stream"), key.alias("ord"), "token")
+
+
+def doc_pairs_of_two(s, d):
+    """The first document from streams of other documents (of an even id), the second from those of an odd id."""
+    key = order_key(42, F.col("doc_id"))
+    rows = c.tok(s, d).select(F.concat_ws("-", "subset", F.substring(key, 1, 1)).alias("stream"), key.alias("ord"), "token", "doc_id")
+    out = analysis.document_pairs_of_two(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1"), 128, 64, [13])
     return out.select("stream", "pair_no", joined(F.col("input_ids")).alias("ids"))
 
 
@@ -124,7 +137,7 @@ QUERIES = {
     for f in (
         token_hist, zipf_stats, zipf_grid, zipf_masked, zipf_summary, zipf_refined, chunk_skip_take, attention_head_mean, distraction_sum,
         distraction_batches, distraction_mean, distraction_pooled_std, distraction_pooled_compat, distraction_layer_weighted,
-        distraction_baseline, doc_pairs, subset_token_totals,
+        distraction_baseline, doc_pairs, doc_pairs_of_two, subset_token_totals,
     )
 }
 

@@ -61,15 +61,13 @@ def shard_token_totals(s, d):
 
 def internal_idx(s, d):
     """New gapless numbers of the processed items in each shard, in the order of the old ones."""
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("subset", "split").orderBy("internal_idx")) - 1
-    return c.proc(s, d).select("row_id", "subset", "split", rank.cast("bigint").alias("new_idx"))
+    rows = c.proc(s, d).select("row_id", "subset", "split", "internal_idx")
+    return corpus.renumbered(rows, ["subset", "split"], "internal_idx", "new_idx").drop("internal_idx")
 
 
 def line_offsets(s, d):
     rows = c.proc(s, d).select("subset", "split", "internal_idx", "contents")
-    return corpus.line_offsets(rows, ["subset", "split"], "internal_idx", "contents").drop("contents")
+    return corpus.line_offsets(rows, ["subset", "split"], "internal_idx", "contents")
 
 
 def _ranges(s, d):

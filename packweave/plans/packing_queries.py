@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import joined, with_eos
 from ..operators import blend, packing
-from ..session import table
+from ..session import small, table
 from . import common as c
 
 PART = 64
@@ -109,8 +109,8 @@ def last_token(s, d):
 
 def batch_numbering(s, d):
     chunks = c.mix(s, d).select("chunk_id")
-    total = chunks.agg(F.count(F.lit(1)).alias("_n"))
-    rows = chunks.join(F.broadcast(total), F.lit(True))  # one row
+    total = packing.full_chunks(c.eos_docs(s, d).select("n_tokens"), c.L).withColumnRenamed("n_chunks", "_n")  # from sizes alone
+    rows = chunks.withColumn("_k", F.lit(0)).join(small(total.withColumn("_k", F.lit(0))), "_k").drop("_k")  # one row
     out = packing.batched(rows, "chunk_id", F.col("_n"), BATCH, PER_DIR)
     return out.select("chunk_id", "batch_idx", "dir_idx", "pos_in_batch", "path")
 
@@ -154,7 +154,13 @@ def blend_workers(s, d):
 
 
 def blend_mix_report(s, d):
-    return blend.mix_report(_order(s, d), c.config(s, d)).select("subset", "weight", "obtained", "share")
+    """Expected and obtained shares of the finished blend, which ends early where a subset runs out."""
+    return blend.mix_report(_blended(s, d).select("subset"), c.config(s, d)).select("subset", "weight", "obtained", "share")
+
+
+def stored_shards(s, d):
+    """Stored sequences dealt to workers before those with many fragments are passed over."""
+    return packing.worker_items(c.mix(s, d), "chunk_id", 4, 2).select("chunk_id", "worker", "worker_pos")
 
 
 QUERIES = {
@@ -162,7 +168,7 @@ QUERIES = {
     for f in (
         mixchunk, unichunk, chunk_token_totals, chunk_doc_spans, pad_chunks, rechunk, fragment_lens, fragment_count_filter, fragment_pad,
         cu_seqlens, max_seqlen, position_ids, label_shift, intra_doc_mask_pairs, causal_pairs, last_token, batch_numbering, combine_renumber,
-        saved_gap, blend_quota, blend_order, blend_join, blend_workers, blend_mix_report,
+        saved_gap, stored_shards, blend_quota, blend_order, blend_join, blend_workers, blend_mix_report,
     )
 }
 
@@ -227,6 +233,7 @@ SQL = {
     "blend_workers": c.with_(c.DOCS, c.TOK, c.EOS, c.UNI, _ORDER)
     + ", j AS (SELECT bl.*, CAST(pos % 4 AS INTEGER) AS worker, u.ids FROM bl LEFT JOIN uni u ON u.subset = bl.subset AND u.chunk_id = bl.occ), e AS (SELECT worker, min(pos) AS stop FROM j WHERE ids IS NULL GROUP BY 1) "
     "SELECT worker, pos, subset, occ FROM j LEFT JOIN e USING (worker) WHERE stop IS NULL OR pos < stop",
-    "blend_mix_report": c.with_(_ORDER)
-    + f", n AS (SELECT subset, count(*) AS obtained FROM bl GROUP BY 1) SELECT g.subset, weight, coalesce(obtained, 0) AS obtained, round(coalesce(obtained, 0) / (SELECT sum(obtained) FROM n), 6) AS share FROM corpus_config g LEFT JOIN n USING (subset)",
+    "stored_shards": c.BASE_MIX + "SELECT chunk_id, CAST(chunk_id % 4 AS INTEGER) AS worker, chunk_id // 4 AS worker_pos FROM mix WHERE len(list_filter(ids, lambda x: x = 2)) <= 2",
+    "blend_mix_report": c.with_(c.DOCS, c.TOK, c.EOS, c.UNI, _ORDER)
+    + f", j AS (SELECT bl.pos, bl.subset, u.ids FROM bl LEFT JOIN uni u ON u.subset = bl.subset AND u.chunk_id = bl.occ), n AS (SELECT subset, count(*) AS obtained FROM j WHERE pos < coalesce((SELECT min(pos) FROM j WHERE ids IS NULL), 1000000000000) GROUP BY 1) SELECT g.subset, weight, coalesce(obtained, 0) AS obtained, round(coalesce(obtained, 0) / (SELECT sum(obtained) FROM n), 6) AS share FROM corpus_config g LEFT JOIN n USING (subset)",
 }

@@ -24,7 +24,7 @@ def collection(s, d, stem: bool = False):
 
 
 def _asked(rows):
-    queries = rows.where(F.col("doc") % EVERY == 0).select("shard", F.col("doc").alias("query"), "terms")
+    queries = rows.where(F.col("doc") % EVERY == 0).select("shard", F.col("doc").alias("query"), "terms", "chunk_cid")
     return retrieval.query_terms(queries, TEST_QUERY_TERMS, QSEED)
 
 
@@ -47,11 +47,8 @@ def query_term_cap(s, d):
 
 def _search(s, d, method="bm25", stem=False, restricted=False):
     rows = stage(collection(s, d, stem), "terms")  # texts are read and cut into terms once
-    cand = None
-    if restricted:  # documents of the query's own source chunk
-        q = rows.where(F.col("doc") % EVERY == 0).select("shard", F.col("doc").alias("query"), "chunk_cid")
-        cand = q.join(rows.select("shard", "doc", "chunk_cid"), ["shard", "chunk_cid"]).where("doc <> query").select("shard", "query", "doc")
-    hits = retrieval.search(retrieval.build_index(rows), _asked(rows), K, method, cand)
+    keep = ["chunk_cid"] if restricted else []  # documents of the query's own source chunk
+    hits = retrieval.search(retrieval.build_index(rows, keep), _asked(rows), K, method, within=keep)
     return hits.select("shard", "query", F.col("rank").cast("bigint").alias("rank"), "doc", "score")
 
 

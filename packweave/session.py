@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import logging
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -62,10 +63,13 @@ def release(paths: list[str] | None = None) -> None:
     spark = SparkSession.getActiveSession()
     for path in list(_own_dirs if paths is None else paths):
         try:
-            jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+            if spark is None and re.match("(file:)?/", path):  # the session has ended
+                shutil.rmtree(re.sub("^file:(//)?", "", path), ignore_errors=True)
+            else:
+                jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+                jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
             _own_dirs.pop(path, None)
-        except Exception as e:  # the context may already be gone
+        except Exception as e:
             log.warning("staged table %s stays behind: %s", path, e)
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import without_bom
 from ..operators.ordering import sample
 from ..operators.packing import without_gaps
+from ..session import small
 
 RAW = "text string, meta struct<redpajama_set_name: string>"
 TOKENIZED = "contents string, token array<int>"
@@ -67,13 +68,28 @@ def saved_batches(spark: SparkSession, path: str, contiguous: bool = True) -> Da
 
 
 def task_examples(spark: SparkSession, task: str, path: str, most: int | None = None, seed: int = 666) -> DataFrame:
-    """Examples of an evaluation task, numbered by ``example_idx``; ``most``: a sample without replacement."""
+    """Examples of an evaluation task, numbered from 0 by ``example_idx`` in the order of files and lines; ``most``: a
+    sample without replacement."""
     schema, form = TASKS[task]
     rows = json_array(spark, path, schema) if form == "array" else json_lines(spark, path, schema).drop("_path")
-    rows = rows.withColumn("example_idx", F.monotonically_increasing_id())
+    rows = numbered(rows, "example_idx")
     return rows if most is None else sample(rows, seed, "example_idx", most)
 
 
+def numbered(rows: DataFrame, out: str) -> DataFrame:
+    """Add ``out``: gapless numbers in the order in which the rows of a scan stand in its files and lines.
+
+    A split of a file holds lines that follow each other; a count per split and its place among the splits, which are
+    few, are all that is gathered.
+    """
+    marked = rows.select("*", F.input_file_name().alias("_f"), F.input_file_block_start().alias("_b"), F.monotonically_increasing_id().alias("_i"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_f", "_b")  # one row per split of a file
+    counts = marked.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_i0"))
+    starts = counts.withColumn("_first", F.coalesce(F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    # within a split the ids of a scan go up by one
+    return marked.join(small(starts), ["_f", "_b"]).withColumn(out, (F.col("_first") + F.col("_i") - F.col("_i0")).cast("bigint")).drop("_f", "_b", "_i", "_i0", "_first")
+
+
 def hotpot_contexts(context):
     """Contexts of HotpotQA: [title, sentences as JSON text] pairs to title and joined sentences."""
     return F.transform(context, lambda c: F.struct(c[0].alias("title"), F.array_join(F.from_json(c[1], "array<string>"), "").alias("text")))

@@ -1,4 +1,4 @@
-"""Sinks. All are idempotent: a rerun replaces what it writes."""
+"""Sinks. A rerun replaces what it writes, but for ``log_results``, which appends."""
 
 from __future__ import annotations
 
@@ -38,7 +38,3 @@ def log_results(results: DataFrame, path: str) -> None:
 
 def distraction_table(stats: DataFrame, path: str) -> None:
     stats.write.mode("overwrite").parquet(path)
-
-
-def to_json_records(rows: DataFrame) -> DataFrame:
-    return rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))

@@ -285,6 +285,68 @@ def test_search_prefers_and_restricts(spark):
     only = spark.createDataFrame([("s", 9, 1)], "shard string, query long, doc long")
     assert [r.doc for r in retrieval.search(index, asked, 5, candidates=only).collect()] == [1]
     assert retrieval.search(index, asked.limit(0), 5).count() == 0
+    # only other documents of the same group, statistics of the whole shard, for any number of salts
+    grouped = retrieval.build_index(col.withColumn("g", F.col("doc") % 2), ["g"])
+    in_group = asked.withColumn("g", F.lit(0).cast("bigint"))
+    for salts in (1, 3):
+        got = retrieval.search(grouped, in_group, 5, within=["g"], salts=salts).collect()
+        assert [(r.doc, r.score) for r in got] == [(r.doc, r.score) for r in retrieval.search(index, asked, 5).collect() if r.doc == 2]
+
+
+def test_index_is_saved_and_loaded(spark, tmp_path):
+    col = spark.createDataFrame([("s", 1, ["a", "b"]), ("s", 2, ["a", "a", "c"]), ("s", 4, [])], "shard string, doc long, terms array<string>")
+    index = retrieval.build_index(col)
+    index.save(str(tmp_path / "index"))
+    back = retrieval.Index.load(spark, str(tmp_path / "index"))
+    for name in ("postings", "docs", "shards", "terms"):
+        a, b = getattr(index, name), getattr(back, name)
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.select(a.columns).collect()))
+    assert sorted((r.term, r.doc, r.tf, r.dl) for r in back.postings.collect()) == [("a", 1, 1, 2), ("a", 2, 2, 3), ("b", 1, 1, 2), ("c", 2, 1, 3)]
+
+
+def test_long_position_ids_and_boundaries(spark):
+    n = 8192
+    df = spark.range(3).select(F.col("id").alias("chunk_id"), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(i % 100 == 99, 2).otherwise(3)).alias("input_ids"))
+    mask = F.transform("input_ids", lambda x: (x != 2).cast("int"))
+    got = df.select(packing.position_ids(mask).alias("p")).first().p
+    assert len(got) == n and got[:3] == [0, 1, 2] and got[99] == 1 and got[100] == 99
+    cu = packing.cumulative_boundaries(df, F.lit(0)).first().cu_seqlens
+    assert cu[0] == 0 and cu[-1] == 3 * n and cu[1] == 100 and len(cu) == 3 * 82 + 1
+
+
+def test_latest_delivery_and_lines(spark):
+    import datetime as dt
+
+    t = lambda d: dt.datetime(2024, 1, d, tzinfo=dt.UTC)
+    rows = [(1, "a", 0, 0, "xx", t(1)), (2, "a", 0, 0, "new", t(2)), (3, "a", 0, 1, None, None), (4, "a", 0, 3, "é", t(1)), (5, "a", 0, 3, "é", t(1)), (6, "b", 0, 0, "z", t(1))]
+    df = spark.createDataFrame(rows, "row_id long, subset string, split int, internal_idx long, contents string, written_at timestamp")
+    kept = corpus.latest_delivery(df)
+    assert {r.row_id for r in kept.collect()} == {2, 3, 5, 6}
+    held, corpus.LINE_BLOCK = corpus.LINE_BLOCK, 2
+    try:
+        got = {(r.subset, r.internal_idx): r.byte_offset for r in corpus.line_offsets(kept, ["subset", "split"], "internal_idx", "contents").collect()}
+        assert got == {("a", 0): 0, ("a", 1): 4, ("a", 3): 5, ("b", 0): 0}
+        new = {r.row_id: r.n for r in corpus.renumbered(kept, ["subset", "split"], "internal_idx", "n").collect()}
+        assert new == {2: 0, 3: 1, 5: 2, 6: 0}
+    finally:
+        corpus.LINE_BLOCK = held
+
+
+def test_pairs_with_first_document_from_another_table(spark):
+    first, docs = random_docs(8, 40, 40), random_docs(9, 60, 40)
+    a, b = (spark.createDataFrame([(s, f"{i:04d}", t) for i, t in rows for s in ("s", "t")], "stream string, ord string, token array<int>") for rows in (first, docs))
+    got = {}
+    for r in analysis.document_pairs_of_two(a, b, 20, 10, [13]).orderBy("pair_no").collect():
+        got.setdefault(r.stream, []).append(r.input_ids)
+    heads, head = [], []
+    for _, t in first:
+        head = [*head, *t, 13]
+        if len(head) >= 20:
+            heads.append(head[-20:])
+            head = []
+    seconds = [[*t, 13][:10] for _, t in docs if len(t) + 1 >= 11]
+    want = [x + y for x, y in zip(heads, seconds)]
+    assert got == {"s": want, "t": want} and len(want) > 3
 
 
 def test_pooled_deviation(spark):

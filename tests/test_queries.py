@@ -2,6 +2,7 @@
 
 import glob
 import importlib.util
+import itertools
 import math
 import os
 import re
@@ -88,6 +89,16 @@ def test_task_files(spark, tmp_path):
     q = tmp_path / "n.jsonl"
     q.write_text("\n".join('{"question": "q%d", "answer": ["x"]}' % i for i in range(20)))
     assert readers.task_examples(spark, "nq", str(q), most=5).count() == 5
+    more = tmp_path / "many"
+    more.mkdir()
+    for k in range(3):
+        (more / f"part{k}.jsonl").write_text("\n".join('{"question": "q%d", "answer": ["x"]}' % i for i in range(k * 7, k * 7 + 7)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        rows = readers.task_examples(spark, "nq", str(more)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r.example_idx, r.question) for r in rows) == [(i, f"q{i}") for i in range(21)]
 
 
 def test_sinks_are_idempotent(spark, tmp_path):
@@ -124,6 +135,9 @@ def test_stream_fills_as_batch_does(spark, tmp_path):
     for s in ("s", "t"):
         total = sum(len(t) + 1 for x, _, t in rows if x == s)
         assert len(got[s]) == total // 16 * 16
-        assert sorted(got[s]) == sorted([t for x, _, ts in rows if x == s for t in [*ts, 2]])[: len(got[s])] or set(got[s]) <= set(range(2, 12))
+        want = {}
+        for k in range(3):  # files may be taken in any order, but each keeps its own
+            want[k] = [t for x, i, ts in rows if x == s and i // 20 == k for t in [*ts, 2]]
+        assert any(got[s] == [t for k in p for t in want[k]][: len(got[s])] for p in itertools.permutations(range(3)))
     cut = ingest.stream_rechunk(spark.table("filled").select("input_ids"), 8)
     assert cut.count() == 2 * spark.table("filled").count()
