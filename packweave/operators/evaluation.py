@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import TASK_LABELS
-from ..functions.text import normalized_answer_ascii, normalized_prediction, stripped
+from ..functions.text import first_line, normalized_answer_ascii, normalized_prediction, stripped
 from ..session import small
 from .ordering import sample
 
@@ -31,6 +31,11 @@ CLASS_FORMATS = {
     "tweet_hate": ("Text: {text}\nLabel: {label}\n", "Text: {text} Label:"),
     "tweet_offensive": ("Text: {text}\nLabel: {label}\n", "Text: {text} Label:"),
 }
+# The format of each task.
+TASK_FORMATS = {
+    **{task: "class" for task in CLASS_FORMATS}, "nq": "cbqa", "tq": "cbqa", "nq_obqa": "contexts", "tq_obqa": "contexts",
+    "hotpotqa": "contexts", "squad": "passage",
+}
 QA_FORMATS = {
     "cbqa": ("Question: {question} Answer: {answer}\n", "Question: {question} Answer:"),
     "contexts": ("Context: {context}Question: {question}\nAnswer: {answer}\n\n", "Context: {context}Question: {question}\nAnswer:"),
@@ -72,6 +77,41 @@ def prompts(test: DataFrame, demos: DataFrame, group: list[str], text: Column) -
     return joined.withColumn("prompt", F.concat(F.coalesce("demos", F.lit("")), text)).drop("demos")
 
 
+def task_texts(task: str) -> tuple[Column, Column]:
+    """A demonstration and the closing question of an example of ``task``, from the columns that ``readers.TASKS`` gives."""
+    form = TASK_FORMATS[task]
+    if form == "class":
+        demo, query = CLASS_FORMATS[task]
+        columns = ("title", "content") if "{title}" in demo else ("text",)
+        fields = {c: stripped(F.col(c)) for c in columns} | {"label": label_name(F.lit(task), F.col("label"))}
+        return filled(demo, fields), filled(query, fields)
+    demo, query = QA_FORMATS[form]
+    fields = {"question": F.col("question")}
+    if task in ("nq", "tq"):
+        fields["answer"] = F.try_element_at("answer", F.lit(1))
+    elif task == "squad":
+        fields = {"question": stripped(F.col("question")), "context": stripped(F.col("context")), "answer": stripped(F.try_element_at("answers.text", F.lit(1)))}
+    elif task == "hotpotqa":
+        pairs = F.transform("context", lambda c: F.concat(c[0], F.lit(". "), F.array_join(F.from_json(c[1], "array<string>"), ""), F.lit("\n")))
+        fields |= {"context": F.array_join(pairs, ""), "answer": F.col("answer")}
+    else:
+        first = F.try_element_at("answers", F.lit(1))
+        fields |= {"context": contexts_text(F.col("ctxs")), "answer": F.coalesce("target", first) if task == "tq_obqa" else first}
+    return filled(demo, fields), filled(query, fields)
+
+
+def task_hit(task: str, prediction: Column) -> Column:
+    """Whether a prediction is right for the example beside it, by the rule of ``task``; null predictions are wrong."""
+    form = TASK_FORMATS[task]
+    if form == "class":
+        return F.coalesce(normalized_prediction(prediction) == label_name(F.lit(task), F.col("label")), F.lit(False))
+    if task == "squad":
+        return any_match(normalized_prediction(prediction), F.col("answers.text"))
+    if task == "hotpotqa":
+        return exact_match(first_line(prediction), F.col("answer"))
+    return any_match(first_line(prediction), F.col("answer" if form == "cbqa" else "answers"))
+
+
 def exact_match(prediction: Column, reference: Column) -> Column:
     return F.coalesce(normalized_answer_ascii(prediction) == normalized_answer_ascii(reference), F.lit(False))
 

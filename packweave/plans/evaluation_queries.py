@@ -9,9 +9,12 @@ from ..functions.text import first_line as first_line_of
 from ..functions.text import normalized_answer, normalized_answer_ascii, normalized_prediction, stripped
 from ..operators import evaluation as ev
 from ..session import table
+from . import pipelines
 
 SHOTS = 3
 SEED = 42
+OWN = ("agnews", "yelp", "sst2", "tweet_hate", "tweet_offensive")
+BASE = "agnews"
 
 
 def _tests(s, d):
@@ -128,6 +131,53 @@ def prompt_passage(s, d):
     return _qa_prompts(s, d, "passage", stripped(F.col("question")))
 
 
+def task_tables(s, d, task):
+    """Train, test and prediction tables of a task in its own form, made from the classification tasks: their own rows, or
+    those of BASE with the text as question or content and the label's name as answer."""
+    base = task if task in OWN else BASE
+    rows = table(s, d, "eval_cls").where((F.col("task") == base) & F.col("label").isNotNull() & F.col("text").isNotNull())
+    name, n, text = ev.label_name(F.lit(base), F.col("label")), F.col("example_idx"), F.col("text")
+    contexts = [F.struct(F.concat(F.lit(f"T{i} "), n.cast("string")).alias("title"), F.concat(text, F.lit(f" {i}")).alias("text")) for i in (1, 2, 3)]
+    pairs = [F.array(c["title"], F.to_json(F.array(c["text"], F.lit(" End.")))) for c in contexts]
+    columns = {
+        "nq": [text.alias("question"), F.array(name, F.concat(F.lit("the "), name, F.lit("."))).alias("answer")],
+        "nq_obqa": [text.alias("question"), F.array(F.upper(name), F.lit("none")).alias("answers"), F.array(*contexts).alias("ctxs")],
+        "hotpotqa": [text.alias("question"), name.alias("answer"), F.array(*pairs).alias("context")],
+        "squad": [text.alias("context"), F.concat(F.lit(" what is "), n.cast("string"), F.lit("? ")).alias("question"), F.struct(F.array(name, F.lit("none")).alias("text")).alias("answers")],
+        "amazon": [F.concat(F.lit(" T "), n.cast("string")).alias("title"), text.alias("content"), (n % 2).cast("int").alias("label")],
+        "dbpedia": [F.concat(F.lit(" T "), n.cast("string")).alias("title"), text.alias("content"), (n % 14).cast("int").alias("label")],
+    }
+    columns["tq"] = columns["nq"]
+    columns["tq_obqa"] = [*columns["nq_obqa"], F.when(n % 2 == 0, F.concat(F.lit("target "), name)).alias("target")]
+    shaped = rows.select("split_name", "example_idx", *columns.get(task, [text, F.col("label")]))
+    predictions = _predictions(s, d).where(F.col("task") == base).select("example_idx", "prediction")
+    return shaped.where("split_name = 'train'").drop("split_name"), shaped.where("split_name = 'test'").drop("split_name"), predictions
+
+
+def _task_query(task):
+    def query(s, d):
+        train, test, predictions = task_tables(s, d, task)
+        asked = pipelines.task_prompts(task, train, test, SHOTS, SEED)
+        rows = pipelines.judged(task, asked, predictions)
+        return rows.groupBy("example_idx", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5")).agg(F.sum(F.col("hit").cast("int")).alias("hits"), F.count(F.lit(1)).alias("answers"))
+
+    query.__name__ = f"task_{task}"
+    query.__doc__ = f"Prompts and right answers of each example of {task}."
+    return query
+
+
+def task_scores(s, d):
+    """The score of every task."""
+    parts = []
+    for task in ev.TASK_FORMATS:
+        train, test, predictions = task_tables(s, d, task)
+        parts.append(pipelines.evaluate_task(task, train, test, predictions, SHOTS, SEED))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
+
+
 def result_log(s, d):
     rows = seed_average(s, d).select("task", "model", F.col("n_shot").cast("int").alias("n_shot"), F.col("seeds").cast("int").alias("seeds"))
     return ev.result_log(rows)
@@ -137,7 +187,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         normalize_answer_ascii, normalize_answer_nfd, first_line, accuracy, seed_average, em_single, em_any, em_avg, prompt_classify,
-        prompt_title_content, prompt_cbqa, prompt_contexts, prompt_passage, result_log,
+        prompt_title_content, prompt_cbqa, prompt_contexts, prompt_passage, task_scores, result_log, *map(_task_query, ev.TASK_FORMATS),
     )
 }
 
@@ -228,3 +278,51 @@ SQL = {
     + """, sa AS (SELECT task, model, n_shot, count(*) AS seeds FROM acc GROUP BY 1, 2, 3)
     SELECT '{"task":"' || task || '","model":"' || model || '","n_shot":' || n_shot || ',"seeds":' || seeds || '}' AS line FROM sa""",
 }
+
+
+def _task_sql(task: str) -> str:
+    """CTEs up to ``res`` (example_idx, prompt, hit), one row per test example and prediction."""
+    base = task if task in OWN else BASE
+    names = TASK_LABELS[task] if ev.TASK_FORMATS[task] == "class" else TASK_LABELS[BASE]
+    label = {"amazon": "example_idx % 2", "dbpedia": "example_idx % 14"}.get(task, "label")
+    rows = f"rows AS (SELECT split_name, example_idx, text, list_extract([{', '.join(repr(n) for n in names)}], CAST({label} AS INTEGER) + 1) AS name FROM eval_cls WHERE task = '{base}' AND label IS NOT NULL AND text IS NOT NULL)"
+    end = "" if task != "hotpotqa" else " || ' End.'"
+    most = 3 if task == "hotpotqa" else 2
+    context = " || ".join(f"'T{i} ' || example_idx || '. ' || text || ' {i}'{end} || chr(10)" for i in range(1, most + 1))
+    first_of, read = _norm("string_split(prediction, chr(10))[1]"), _norm(_pred("prediction"))
+    fields, answers = {"question": "text", "context": context}, []
+    if ev.TASK_FORMATS[task] == "class":
+        demo, ask = ev.CLASS_FORMATS[task]
+        fields = {"text": _strip("text"), "content": _strip("text"), "title": "'T ' || example_idx", "label": "name"}
+        hit = f"{_pred('prediction')} = name"
+    else:
+        demo, ask = ev.QA_FORMATS[ev.TASK_FORMATS[task]]
+        if task in ("nq", "tq"):
+            fields["answer"], answers = "name", ["name", "'the ' || name || '.'"]
+        elif task == "hotpotqa":
+            fields["answer"], answers = "name", ["name"]
+        elif task == "squad":
+            fields = {"question": "'what is ' || example_idx || '?'", "context": _strip("text"), "answer": "name"}
+            first_of, answers = read, ["name", "'none'"]
+        else:
+            fields["answer"] = "upper(name)" if task == "nq_obqa" else "CASE WHEN example_idx % 2 = 0 THEN 'target ' || name ELSE upper(name) END"
+            answers = ["upper(name)", "'none'"]
+        hit = " OR ".join(f"{first_of} = {_norm(a)}" for a in answers)
+    pool = "SELECT * FROM rows WHERE split_name = 'train'"
+    if task in pipelines.POOLED:
+        pool += f" ORDER BY md5('{pipelines.CBQA_POOL_SEED}-' || example_idx), example_idx LIMIT {pipelines.CBQA_POOL}"
+    return (
+        f"WITH {rows}, pool AS ({pool}), tr AS (SELECT {_form(demo, **fields)} AS dt, row_number() OVER (ORDER BY md5('{SEED}-' || example_idx), example_idx) AS r FROM pool), "
+        f"dm AS (SELECT string_agg(dt, '' ORDER BY r) AS demos FROM tr WHERE r <= {SHOTS}), "
+        f"te AS (SELECT example_idx, name, coalesce(demos, '') || {_form(ask, **fields)} AS prompt FROM rows, dm WHERE split_name = 'test'), "
+        f"res AS (SELECT te.example_idx, prompt, coalesce({hit}, false) AS hit FROM te LEFT JOIN (SELECT example_idx, prediction FROM predictions WHERE task = '{base}') USING (example_idx))"
+    )
+
+
+SQL |= {
+    f"task_{t}": _task_sql(t) + " SELECT example_idx, md5(prompt) AS prompt_md5, CAST(sum(CAST(hit AS INTEGER)) AS BIGINT) AS hits, count(*) AS answers FROM res GROUP BY 1, prompt"
+    for t in ev.TASK_FORMATS
+}
+SQL["task_scores"] = " UNION ALL ".join(
+    f"SELECT * FROM ({_task_sql(t)} SELECT '{t}' AS task, CAST({SHOTS} AS INTEGER) AS n_shot, CAST({SEED} AS INTEGER) AS seed, round(100 * avg(CAST(hit AS INTEGER)), 6) AS score, count(*) AS n FROM res)" for t in ev.TASK_FORMATS
+)

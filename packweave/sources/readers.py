@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,8 +98,6 @@ def hotpot_contexts(context):
 
 def sentence_pieces(spark: SparkSession, model: str):
     """A pandas UDF text -> ids of a sentencepiece model file, without special tokens; null text: null."""
-    import pandas as pd
-
     held: list = []
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
