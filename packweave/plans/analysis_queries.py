@@ -148,6 +148,14 @@ _GRID = (
     "z AS (SELECT s, (ln(a + 30 ** (1 - s) / (s - 1) + 0.5 * 30 ** (-s) + s * 30 ** (-s - 1) / 12 - s * (s + 1) * (s + 2) * 30 ** (-s - 3) / 720)) AS lz FROM h), "
     "fit AS (SELECT chunk_id, arg_min(s, n * lz + s * log_sum) AS exponent FROM zs, z GROUP BY 1) "
 )
+# the exponent to three decimals: how many half-way points have a slope of ln zeta (by a central difference) below -log_sum / n
+_EM = "ln(sum(n ** (-x)) + 30 ** (1 - x) / (x - 1) + 0.5 * 30 ** (-x) + x * 30 ** (-x - 1) / 12 - x * (x + 1) * (x + 2) * 30 ** (-x - 3) / 720)"
+_REFINED = (
+    ", half AS (SELECT 1.0105 + 0.001 * i AS s FROM range(8990) t(i)), "
+    f"lz AS (SELECT s, w, {_EM} AS v FROM (SELECT s, w, s + w * 1e-5 AS x FROM half, (VALUES (-1), (1)) v(w)), range(1, 30) r(n) GROUP BY s, w, x), "
+    "slope AS (SELECT s, sum(w * v) / 2e-5 AS d FROM lz GROUP BY 1), "
+    "fine AS (SELECT chunk_id, round(1.01 + 0.001 * count(*) FILTER (d < -log_sum / n), 3) AS exponent FROM zs, slope GROUP BY 1) "
+)
 _ATT = (
     "WITH e AS (SELECT vec_id AS example, label AS layer, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS p FROM embeddings), "
     "att AS (SELECT example, layer, CAST(p // 2 AS INTEGER) AS k, avg(abs(CAST(x AS DOUBLE))) AS weight FROM e GROUP BY 1, 2, 3), "
@@ -159,6 +167,7 @@ SQL = {
     "token_hist": _HIST + "SELECT chunk_id, token, cnt FROM hist",
     "zipf_stats": _HIST + "SELECT chunk_id, n, round(log_sum, 6) AS log_sum FROM zs",
     "zipf_grid": _HIST.rstrip() + _GRID + "SELECT chunk_id, exponent FROM fit",
+    "zipf_refined": _HIST.rstrip() + _REFINED + "SELECT chunk_id, exponent FROM fine",
     "zipf_summary": _HIST.rstrip() + _GRID + "SELECT round(avg(exponent), 4) AS mean, round(stddev_pop(exponent), 4) AS std, count(*) AS n FROM fit",
     "zipf_masked": c.BASE_POS.rstrip()
     + ", hist AS (SELECT chunk_id, f, id, count(*) AS cnt FROM frag GROUP BY 1, 2, 3) SELECT chunk_id, CAST(f AS BIGINT) AS fragment, count(*) AS n, round(CAST(sum(CAST(ln(cnt) AS DECIMAL(28, 12))) AS DOUBLE), 6) AS log_sum FROM hist GROUP BY 1, 2",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from ..config import TASK_LABELS
@@ -200,6 +202,14 @@ def _norm(x: str) -> str:
     return f"trim(regexp_replace(array_to_string(list_transform({parts}, lambda w: CASE WHEN w IN ('a', 'an', 'the') THEN ' ' ELSE w END), ''), '[ \\t\\r\\n\\x0B\\f]+', ' ', 'g'))"
 
 
+def _decomposed(x: str) -> str:
+    """Letters with marks of the Latin and Cyrillic blocks as letters and marks, by Unicode's own table."""
+    for code in (*range(0xC0, 0x180), *range(0x400, 0x460)):
+        if (apart := unicodedata.normalize("NFD", chr(code))) != chr(code):
+            x = f"replace({x}, '{chr(code)}', '{apart}')"
+    return x
+
+
 _BL = "[\\s\\x1c-\\x1f\\x0B\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
 
@@ -261,7 +271,10 @@ _demo_case = "CASE task " + " ".join(f"WHEN '{t}' THEN {_form(a, **_cls_field)}"
 _query_case = "CASE task " + " ".join(f"WHEN '{t}' THEN {_form(b, **_cls_field)}" for t, (_, b) in _DEMO_FORMS.items()) + " END"
 _ttl = {"title": _strip("title"), "content": _strip("content"), "label": "name"}
 
+_WORDS_OF = f"regexp_extract_all(regexp_replace(lower({_decomposed('text')}), '[!-/:-@\\[-`{{-~]', '', 'g'), '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+')"
+
 SQL = {
+    "normalize_answer_nfd": f"SELECT eval_id, {_strip(f"regexp_replace(array_to_string(list_transform({_WORDS_OF}, lambda w: CASE WHEN w IN ('a', 'an', 'the') THEN ' ' ELSE w END), ''), '{_BL}+', ' ', 'g')")} AS answer FROM split_eval",
     "normalize_answer_ascii": f"SELECT pred_id, {_norm('prediction')} AS answer FROM predictions",
     "first_line": f"SELECT pred_id, {_FIRST} AS line, {_pred('prediction')} AS normalised FROM predictions",
     "accuracy": _ACC + " SELECT * FROM acc",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analysis_queries, corpus_queries, evaluation_queries, packing_queries, retrieval_queries
+from . import analysis_queries, corpus_queries, evaluation_queries, io_queries, packing_queries, retrieval_queries
 
-PARTS = (corpus_queries, packing_queries, retrieval_queries, analysis_queries, evaluation_queries)
+PARTS = (corpus_queries, packing_queries, retrieval_queries, analysis_queries, evaluation_queries, io_queries)
 
 
 def queries() -> dict:

@@ -38,6 +38,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder that ``release`` removes like a staged table."""
+    path = f"{shared_dir(spark).rstrip('/')}/packweave/{label}-{uuid.uuid4().hex}"
+    if not _own_dirs:
+        atexit.register(release)
+    _own_dirs[path] = label
+    return path
+
+
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: a compressed, columnar lineage cut.
 
@@ -45,10 +54,7 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     driver ends; a failed write, at once.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/packweave/{label}-{uuid.uuid4().hex}"
-    if not _own_dirs:
-        atexit.register(release)
-    _own_dirs[path] = label
+    path = scratch(spark, label)
     try:
         df.write.parquet(path)
     except BaseException:

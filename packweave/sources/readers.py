@@ -15,6 +15,7 @@ from ..session import small
 RAW = "text string, meta struct<redpajama_set_name: string>"
 TOKENIZED = "contents string, token array<int>"
 PROCESSED = f"{TOKENIZED}, internal_idx bigint"
+SAVED = "batch_idx bigint, pos_in_batch int, input_ids array<int>, dir_idx int"
 CBQA = "question string, answer array<string>"
 CLASSIFY = "text string, label int"
 TITLED = "title string, content string, label int"
@@ -64,7 +65,7 @@ def shard_line(shards: DataFrame, subset: str, split: int, line: int) -> DataFra
 
 def saved_batches(spark: SparkSession, path: str, contiguous: bool = True) -> DataFrame:
     """Rows of a directory of saved batches; ``contiguous``: only up to the first missing batch."""
-    rows = spark.read.parquet(path)
+    rows = spark.read.schema(SAVED).parquet(path)
     return without_gaps(rows) if contiguous else rows
 
 

@@ -19,6 +19,11 @@ def evaluation_split(docs: DataFrame, path: str) -> None:
     split_by_subset(docs.select("subset", "text"), path)
 
 
+def tokenized(docs: DataFrame, path: str) -> None:
+    """Tokenized documents before they are numbered: contents and ids only, by subset."""
+    split_by_subset(docs.select("subset", "contents", "token"), path)
+
+
 def shards(docs: DataFrame, path: str) -> None:
     """Tokenized shards by subset and split, lines in the order of ``internal_idx``."""
     rows = docs.select("subset", "split", "contents", "token", "internal_idx").repartition("subset", "split").sortWithinPartitions("subset", "split", "internal_idx")
