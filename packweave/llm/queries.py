@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binpack, leakage, mixing, pii, quality, splitting, token_budget
+from . import binpack, leakage, mixing, oracle, pii, quality, splitting, token_budget
 
 
 def queries() -> dict:
@@ -26,6 +26,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "p4_found": "SELECT row_id FROM processed WHERE len(list_filter(token, lambda x: x > 2)) > 2048",
-    }
+    return dict(oracle.SQL)
