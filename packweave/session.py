@@ -99,5 +99,18 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
+#: Most bytes of text of a model or configuration (a vocabulary, a gazetteer) that is sent to the executors.
+MODEL_BYTES = 32 << 20
+
+
+def model_rows(df: DataFrame, what: str, limit: int = MODEL_BYTES) -> list:
+    """The rows of a small table of numbers and strings that is a model, not data; refused beyond ``limit`` bytes."""
+    width = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns]
+    size = df.agg(F.sum(sum(width, F.lit(16 * len(width))))).first()[0] or 0
+    if size > limit:
+        raise ValueError(f"{what} has {size} bytes, more than {limit}")
+    return df.collect()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
