@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 
 from ..config import BM25_B, BM25_K1, BUFFER_SIZE, CHUNK_SIZE, EOS_ID, QUERY_TERMS, SEED_RETRIEVAL
 from ..functions.tokens import order_key
+from ..session import stage
 
 MODES = ("star", "chain")
-#: Documents read ahead and indexed at once.
+#: Most documents read ahead and indexed at once; about as many as the buffer holds.
 SEGMENT = 2048
+LEAST_SEGMENT = 64
 
 
 @dataclass(frozen=True)
@@ -233,14 +235,16 @@ def _array(x) -> np.ndarray:
     return np.asarray(x if x is not None else [], np.int64)
 
 
-def retrieval_chunks(shards: DataFrame, cfg: PackingConfig, segment: int = SEGMENT) -> DataFrame:
+def retrieval_chunks(shards: DataFrame, cfg: PackingConfig, segment: int | None = None) -> DataFrame:
     """Sequences of each shard. ``shards``: subset, split, internal_idx, token, terms; documents in the fixed order of
     ``cfg.seed``. Null tokens make no part of a sequence. Terms travel as hashes; a shard's document frequencies go
     ahead of its documents in the same stream, so nothing but the buffer and these counts is held."""
+    segment = segment or max(LEAST_SEGMENT, min(SEGMENT, cfg.buffer))
     hashed = shards.select(
         "subset", "split", "internal_idx", "token", F.transform(F.coalesce("terms", F.array().cast("array<string>")), lambda t: F.xxhash64(t)).alias("terms")
     )
     zero = F.lit(0).cast("bigint")  # not null: pandas would make numbers with nulls inexact
+    hashed = stage(hashed, "terms")  # texts are cut into terms once, for the counts and for the documents
     docs = hashed.select(
         "subset", "split", F.lit(2).alias("kind"), order_key(cfg.seed, F.col("internal_idx")).alias("_key"), "internal_idx", "token", "terms", zero.alias("h"), zero.alias("n")
     )

@@ -100,7 +100,7 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 
 
 #: Most bytes of text of a model or configuration (a vocabulary, a gazetteer) that is sent to the executors.
-MODEL_BYTES = 32 << 20
+MODEL_BYTES = 12 << 20
 
 
 def model_rows(df: DataFrame, what: str, limit: int = MODEL_BYTES) -> list:
