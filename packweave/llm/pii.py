@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage, table
+from ..session import model_rows, stage, table
 
 TYPES = ("email", "phone", "id_number", "address", "name")
 LABELERS = {
@@ -41,8 +41,6 @@ WORDS_AROUND = 2
 #: Spans that the classifier's penalty is set for; counts are scaled to it.
 TRAIN_WEIGHT = 1000.0
 THRESHOLD = 0.5
-#: Gazetteers are sent to the executors; larger ones are refused.
-MAX_NAMES = 5_000_000
 
 #: Ids pass Python as strings, so nulls and large numbers stay exact.
 SPANS = "array<struct<t:int,s:int,e:int,v:string,p:string,f:string,b:array<int>,a:array<int>>>"
@@ -586,9 +584,7 @@ def learn(rows: list[tuple[int, str, str, int]], soft: dict[tuple[int, str], flo
 
 
 def _names_of(gazetteer: DataFrame) -> list[tuple[str, str]]:
-    rows = gazetteer.where("name is not null").select("name", "kind").limit(MAX_NAMES + 1).collect()
-    if len(rows) > MAX_NAMES:
-        raise ValueError(f"the gazetteer has more than {MAX_NAMES} names")
+    rows = model_rows(gazetteer.where("name is not null").select("name", "kind"), "the gazetteer")
     return [(r.name, r.kind) for r in rows]
 
 

@@ -9,19 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import model_rows
 from .linmax import LinMaxTrie, TokenCounter, pieces_of
 
 TOKENIZER_DIR = "/opt/tokenizers"
-#: A vocabulary is sent to the executors; larger ones are refused.
-MAX_VOCAB = 2_000_000
 
 
 def vocab_pieces(vocab: DataFrame) -> dict[str, int]:
-    """The pieces of a vocabulary table. A vocabulary is a model, not data: its size is checked against MAX_VOCAB."""
-    rows = vocab.select("token_id", "piece").where("token_id is not null and piece is not null").limit(MAX_VOCAB + 1).collect()
-    if len(rows) > MAX_VOCAB:
-        raise ValueError(f"the vocabulary has more than {MAX_VOCAB} pieces")
-    return pieces_of(rows)
+    """The pieces of a vocabulary table, a model whose bytes are checked."""
+    return pieces_of(model_rows(vocab.select("token_id", "piece").where("token_id is not null and piece is not null"), "the vocabulary"))
 
 
 def vocab_counter(spark: SparkSession, vocab: DataFrame):

@@ -14,8 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import table
-from .sizes import MAX_VOCAB
+from ..session import model_rows, table
 
 LIMIT = 2048
 OVERLAP = 128
@@ -153,9 +152,7 @@ def split_oversized(items: DataFrame, vocab: DataFrame, limit: int = LIMIT, over
     """
     if not (0 <= overlap <= limit // 2 and limit > overlap + LEAD):
         raise ValueError("the overlap must be from 0 to half of the limit, and leave it more than LEAD ids")
-    rows = vocab.where("token_id >= 0 and piece is not null").select("token_id", "piece").limit(MAX_VOCAB + 1).collect()
-    if len(rows) > MAX_VOCAB:
-        raise ValueError(f"the vocabulary has more than {MAX_VOCAB} pieces")
+    rows = model_rows(vocab.where("token_id >= 0 and piece is not null").select("token_id", "piece"), "the vocabulary")
     shared = items.sparkSession.sparkContext.broadcast([(int(i), p) for i, p in rows])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -68,6 +68,24 @@ def test_distance_alone_decides(spark):
     assert found == {i for i, _ in junk}  # and not the long book
 
 
+def test_agreement_with_hand_labels(spark):
+    """Held-out accuracy: no label is used to fit. Wrong and null labels are part of the table."""
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/quality_labels.parquet").where("label is not null").selectExpr("doc_id", "lower(label) in ('list', 'table', 'junk') as bad").distinct()
+    labels = labels.collect()
+    found = {r.doc_id for r in queries.queries()["p2_found"](spark, d).collect()}
+    assert np.mean([(r.doc_id in found) == r.bad for r in labels]) > 0.95
+
+
+def test_models_are_bounded(spark):
+    from packweave.session import model_rows
+
+    names = spark.createDataFrame([("a" * 100, "given"), (None, "family")], "name string, kind string")
+    assert len(model_rows(names, "names")) == 2 and model_rows(names.limit(0), "names") == []
+    with pytest.raises(ValueError, match="names has"):
+        model_rows(names, "names", 100)
+
+
 def test_code_is_code():
     text = "import os\n\ndef main(x):\n    y = x[0] + 2\n    if y > 3:\n        return y\n    return os.path.join(y, 'a')\n"
     assert quality.measure(text)[1]
