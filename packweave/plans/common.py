@@ -12,8 +12,8 @@ from ..session import table
 
 L = TEST_CHUNK
 SEED = SEED_CORPUS
-TOTAL_TOKENS = 120_000
-MAX_SPLITS = 3
+#: Budgets are this part of what the documents hold, as a fraction.
+BUDGET = (4, 5)
 
 
 def config(spark: SparkSession, d: str) -> DataFrame:
@@ -33,6 +33,12 @@ def sized(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", "subset", "chunk_cid", F.size(words(F.col("text"))).alias("n_tokens"))
 
 
+def budget(spark: SparkSession, d: str) -> int:
+    """The token budget of sampling and sharding: BUDGET of all words, at least 1."""
+    total = sized(spark, d).agg(F.sum("n_tokens")).first()[0] or 0
+    return max(1, total * BUDGET[0] // BUDGET[1])
+
+
 def eos_docs(spark: SparkSession, d: str) -> DataFrame:
     """Documents with end marks; their sizes come from the words alone, without hashing them."""
     size = (F.size(words(F.col("text"))) + 1).alias("n_tokens")

@@ -10,7 +10,6 @@ from ..operators import corpus, ordering
 from ..session import small, table
 from . import common as c
 
-T = c.TOTAL_TOKENS
 FEW = 5
 SAMPLED = 50
 WORKERS = 8
@@ -43,12 +42,12 @@ def subset_semijoin(s, d):
 
 
 def budget_sample(s, d):
-    out = corpus.budget_sample(c.sized(s, d), c.config(s, d), T, c.SEED)
+    out = corpus.budget_sample(c.sized(s, d), c.config(s, d), c.budget(s, d), c.SEED)
     return out.select("doc_id", "subset", "chunk_cid", F.col("run_before").alias("tokens_before"))
 
 
 def _sharded(s, d):
-    return corpus.assign_shards(c.sized(s, d), c.config(s, d), T, c.SEED, c.MAX_SPLITS)
+    return corpus.assign_shards(c.sized(s, d), c.config(s, d), c.budget(s, d), c.SEED)
 
 
 def shard_assign(s, d):
@@ -127,11 +126,14 @@ QUERIES = {
     )
 }
 
-_SIZED = c.BASE_TOK.rstrip() + ", sized AS (SELECT doc_id, subset, chunk_cid, len(token) AS n FROM tok) "
+_SIZED = (
+    c.BASE_TOK.rstrip() + ", sized AS (SELECT doc_id, subset, chunk_cid, len(token) AS n FROM tok), "
+    f"bud AS (SELECT CAST(greatest(1, coalesce(sum(n), 0) * {c.BUDGET[0]} // {c.BUDGET[1]}) AS BIGINT) AS t FROM sized) "
+)
 _SHARDS = (
     _SIZED.rstrip()
-    + f""", run AS (SELECT s.*, md5('{c.SEED}-' || doc_id) AS k, floor(g.weight * {T})::BIGINT AS target,
-    ceil(floor(g.weight * {T}) / least(g.n_splits, {c.MAX_SPLITS}))::BIGINT AS each_ FROM sized s JOIN corpus_config g USING (subset)),
+    + f""", run AS (SELECT s.*, md5('{c.SEED}-' || doc_id) AS k, floor(g.weight * t)::BIGINT AS target,
+    ceil(floor(g.weight * t) / g.n_splits)::BIGINT AS each_ FROM sized s JOIN corpus_config g USING (subset), bud),
     cum AS (SELECT *, row_number() OVER w - 1 AS j, coalesce(sum(n) OVER (PARTITION BY subset ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef
     FROM run WINDOW w AS (PARTITION BY subset ORDER BY k, doc_id)),
     kept AS (SELECT *, greatest(0, ceil((bef + n) / each_) - 1) - j AS lead_ FROM cum WHERE j = 0 OR bef <= target),
@@ -146,10 +148,10 @@ SQL = {
     "subset_project": "SELECT doc_id, meta.redpajama_set_name AS set_name, text FROM documents",
     "subset_semijoin": "SELECT doc_id, meta.redpajama_set_name AS set_name FROM documents WHERE meta.redpajama_set_name IN (SELECT subset FROM corpus_config)",
     "budget_sample": _SIZED.rstrip()
-    + f""", cum AS (SELECT s.doc_id, s.subset, s.chunk_cid, floor(g.weight * {T} / 10)::BIGINT AS target,
+    + f""", cum AS (SELECT s.doc_id, s.subset, s.chunk_cid, floor(g.weight * t / 10)::BIGINT AS target,
     row_number() OVER (PARTITION BY s.subset, s.chunk_cid ORDER BY md5('{c.SEED}-' || doc_id), doc_id) AS j,
     coalesce(sum(n) OVER (PARTITION BY s.subset, s.chunk_cid ORDER BY md5('{c.SEED}-' || doc_id), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef
-    FROM sized s JOIN corpus_config g USING (subset)) SELECT doc_id, subset, chunk_cid, CAST(bef AS BIGINT) AS tokens_before FROM cum WHERE j = 1 OR bef < target""",
+    FROM sized s JOIN corpus_config g USING (subset), bud) SELECT doc_id, subset, chunk_cid, CAST(bef AS BIGINT) AS tokens_before FROM cum WHERE j = 1 OR bef < target""",
     "shard_assign": _SHARDS + "SELECT doc_id, subset, split, CAST(row_number() OVER (PARTITION BY subset, split ORDER BY j) - 1 AS BIGINT) AS internal_idx FROM spl",
     "shard_token_totals": _SHARDS + "SELECT subset, split, CAST(sum(n) AS BIGINT) AS tokens, count(*) AS docs FROM spl GROUP BY 1, 2",
     "internal_idx": c.with_(c.PROC) + "SELECT row_id, subset, split, CAST(row_number() OVER (PARTITION BY subset, split ORDER BY internal_idx) - 1 AS BIGINT) AS new_idx FROM proc",

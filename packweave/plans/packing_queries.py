@@ -14,7 +14,6 @@ PAD_L = 256
 BATCH = 8
 PER_DIR = 4
 CU_BATCH = 4
-N_BLEND = 400
 
 
 def _shown(df, *keys):
@@ -129,11 +128,16 @@ def saved_gap(s, d):
 
 
 def blend_quota(s, d):
-    return blend.quotas(c.config(s, d), N_BLEND).select("subset_idx", "subset", "quota")
+    return blend.quotas(c.config(s, d), _n_blend(s, d)).select("subset_idx", "subset", "quota")
+
+
+def _n_blend(s, d):
+    """Sequences to blend: as many as all tokens fill."""
+    return packing.full_chunks(c.eos_docs(s, d).select("n_tokens"), c.L).first().n_chunks
 
 
 def _order(s, d):
-    return blend.blend_order(c.config(s, d), N_BLEND, 666)
+    return blend.blend_order(c.config(s, d), _n_blend(s, d), 666)
 
 
 def blend_order(s, d):
@@ -179,10 +183,11 @@ _PADDED = (
     "pad AS (SELECT row_id, piece_no, x, list_concat(x, list_transform(range(len(x), {n}), lambda i: 0::INTEGER)) AS ids FROM raw WHERE len(x) = {n} OR len(x) > 1)"
 )
 _ORDER = (
-    f"q AS (SELECT subset_idx, subset, CAST(round_even(weight * {N_BLEND} + 1, 0) AS BIGINT) AS quota FROM corpus_config), "
+    f"nb AS (SELECT CAST(coalesce(sum(len(token)), 0) // {c.L} AS BIGINT) AS total FROM eos), "
+    "q AS (SELECT subset_idx, subset, CAST(round_even(weight * total + 1, 0) AS BIGINT) AS quota FROM corpus_config, nb), "
     "req AS (SELECT subset_idx, subset, CAST(unnest(range(0, quota)) AS BIGINT) AS k FROM q), "
     f"ord AS (SELECT subset_idx, subset, row_number() OVER (ORDER BY md5('666-' || subset_idx || '-' || k), subset_idx, k) - 1 AS pos FROM req), "
-    f"bl AS (SELECT CAST(pos AS BIGINT) AS pos, subset_idx, subset, CAST(row_number() OVER (PARTITION BY subset ORDER BY pos) - 1 AS BIGINT) AS occ FROM ord WHERE pos < {N_BLEND})"
+    f"bl AS (SELECT CAST(pos AS BIGINT) AS pos, subset_idx, subset, CAST(row_number() OVER (PARTITION BY subset ORDER BY pos) - 1 AS BIGINT) AS occ FROM ord WHERE pos < (SELECT total FROM nb))"
 )
 _PAD_ROWS = c.with_(_PADDED.format(n=PART)) + ", pp AS (SELECT row_id, piece_no, unnest(ids) AS id, generate_subscripts(ids, 1) AS p FROM pad) "
 _PAD_ROWS = _PAD_ROWS.replace(" , pp", ", pp")
@@ -226,8 +231,8 @@ SQL = {
     + f""", b AS (SELECT DISTINCT subset, split, internal_idx // {BATCH} AS batch_idx, CAST(internal_idx // {BATCH * PER_DIR} AS INTEGER) AS dir_idx FROM proc)
     SELECT *, CAST(dense_rank() OVER (PARTITION BY subset ORDER BY split, dir_idx, batch_idx) - 1 AS BIGINT) AS new_batch FROM b""",
     "saved_gap": _BATCHED + f"SELECT batch_idx, chunk_id FROM bt WHERE batch_idx < {2 * PER_DIR}",
-    "blend_quota": c.with_(_ORDER) + "SELECT subset_idx, subset, quota FROM q",
-    "blend_order": c.with_(_ORDER) + "SELECT pos, subset_idx, subset, occ FROM bl",
+    "blend_quota": c.with_(c.DOCS, c.TOK, c.EOS, _ORDER) + "SELECT subset_idx, subset, quota FROM q",
+    "blend_order": c.with_(c.DOCS, c.TOK, c.EOS, _ORDER) + "SELECT pos, subset_idx, subset, occ FROM bl",
     "blend_join": c.with_(c.DOCS, c.TOK, c.EOS, c.UNI, _ORDER)
     + ", j AS (SELECT bl.*, u.ids FROM bl LEFT JOIN uni u ON u.subset = bl.subset AND u.chunk_id = bl.occ) SELECT pos, subset, occ, array_to_string(ids, ',') AS ids FROM j WHERE pos < coalesce((SELECT min(pos) FROM j WHERE ids IS NULL), 1000000000000)",
     "blend_workers": c.with_(c.DOCS, c.TOK, c.EOS, c.UNI, _ORDER)
