@@ -156,6 +156,25 @@ _REFINED = (
     "slope AS (SELECT s, sum(w * v) / 2e-5 AS d FROM lz GROUP BY 1), "
     "fine AS (SELECT chunk_id, round(1.01 + 0.001 * count(*) FILTER (d < -log_sum / n), 3) AS exponent FROM zs, slope GROUP BY 1) "
 )
+_STREAMS = (
+    "str AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY ord) AS r FROM (SELECT subset || '-' || substr(md5('42-' || doc_id), 1, 1) AS stream, md5('42-' || doc_id) AS ord, list_append(token, 13) AS ids, doc_id FROM tok{where}))"
+)
+_PAIRS = (
+    c.BASE_TOK.replace("WITH", "WITH RECURSIVE", 1).rstrip() + ", " + _STREAMS.format(where="")
+    + ", go(stream, r, head, ready, made, pair) AS (SELECT DISTINCT stream, CAST(0 AS BIGINT), []::INTEGER[], false, CAST(0 AS BIGINT), NULL::INTEGER[] FROM str UNION ALL "
+    "SELECT s.stream, s.r, CASE WHEN NOT ready THEN list_concat(head, ids) WHEN len(ids) > 64 THEN [] ELSE head END, CASE WHEN NOT ready THEN len(head) + len(ids) >= 128 ELSE len(ids) <= 64 END, "
+    "CASE WHEN ready AND len(ids) > 64 THEN made + 1 ELSE made END, CASE WHEN ready AND len(ids) > 64 THEN list_concat(list_slice(head, -128, len(head)), list_slice(ids, 1, 64)) END "
+    "FROM go JOIN str s ON s.stream = go.stream AND s.r = go.r + 1) SELECT stream, made - 1 AS pair_no, array_to_string(pair, ',') AS ids FROM go WHERE pair IS NOT NULL"
+)
+_PAIRS_OF_TWO = (
+    c.BASE_TOK.replace("WITH", "WITH RECURSIVE", 1).rstrip() + ", " + _STREAMS.format(where=" WHERE doc_id % 2 = 0")
+    + ", go(stream, r, head, done, made) AS (SELECT DISTINCT stream, CAST(0 AS BIGINT), []::INTEGER[], false, CAST(0 AS BIGINT) FROM str UNION ALL "
+    "SELECT s.stream, s.r, CASE WHEN done THEN ids ELSE list_concat(head, ids) END, CASE WHEN done THEN len(ids) ELSE len(head) + len(ids) END >= 128, CASE WHEN done THEN made + 1 ELSE made END "
+    "FROM go JOIN str s ON s.stream = go.stream AND s.r = go.r + 1), "
+    + _STREAMS.format(where=" WHERE doc_id % 2 = 1").replace("str AS", "two AS", 1)
+    + ", sec AS (SELECT stream, ids, row_number() OVER (PARTITION BY stream ORDER BY ord) - 1 AS made FROM two WHERE len(ids) > 64) "
+    "SELECT go.stream, made AS pair_no, array_to_string(list_concat(list_slice(head, -128, len(head)), list_slice(ids, 1, 64)), ',') AS ids FROM go JOIN sec USING (stream, made) WHERE done"
+)
 _ATT = (
     "WITH e AS (SELECT vec_id AS example, label AS layer, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS p FROM embeddings), "
     "att AS (SELECT example, layer, CAST(p // 2 AS INTEGER) AS k, avg(abs(CAST(x AS DOUBLE))) AS weight FROM e GROUP BY 1, 2, 3), "
@@ -182,5 +201,7 @@ SQL = {
     "distraction_layer_weighted": _ATT.rstrip()
     + f", m AS (SELECT layer, round(avg(mean), 6) AS mean FROM bat GROUP BY 1) SELECT round(sum(mean / ({LAYERS} - layer)) / sum(1.0 / ({LAYERS} - layer)), 5) AS weighted FROM m",
     "distraction_baseline": f"SELECT CAST(x AS BIGINT) AS x, round({float(DOC1)} / ({float(DOC1)} + x), 6) AS share FROM range(65) t(x)",
+    "doc_pairs": _PAIRS,
+    "doc_pairs_of_two": _PAIRS_OF_TWO,
     "subset_token_totals": c.BASE_TOK + "SELECT subset, CAST(sum(len(token)) AS BIGINT) AS tokens FROM tok GROUP BY 1",
 }
