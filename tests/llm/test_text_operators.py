@@ -473,6 +473,15 @@ def test_form_and_words_around():
 
 
 def test_every_query_runs_on_the_smallest_data(spark, tiny):
+    shown = {
+        "p1_document_tokens": "doc_id tokens", "p1_token_budget": "dimension slice docs tokens", "p2_found": "doc_id", "p2_statistics": "doc_id distance outlier contributions",
+        "p3_found": "row_id eval_id", "p3_leaks": "row_id eval_id coverage passage", "p3_item_report": "eval_id rows best_coverage", "p4_found": "row_id",
+        "p4_pieces": "row_id piece_no token", "p5_sequences": "sequence_id doc_id n_tokens", "p5_fill": "fill closed_by_cost scalar_sequences",
+        "p6_mixture": "doc_id subset copy_no", "p6_shares": "subset weight share", "p7_found": "doc_id pii_type value", "p7_redacted": "doc_id text n_name",
+    }
+    assert set(shown) == set(queries.queries())
     for name, query in queries.queries().items():
-        assert query(spark, tiny).count() >= 0, name
+        out = query(spark, tiny)
+        assert set(shown[name].split()) <= set(out.columns) and out.count() > 0, name
+    assert queries.queries()["p7_redacted"](spark, tiny).count() == 100 == queries.queries()["p1_document_tokens"](spark, tiny).count()
     assert set(queries.oracle_sql()) <= set(queries.queries())
