@@ -48,10 +48,10 @@ LEAKS = "row_id string, eval_id string, item_words int, passage_words int, alter
 
 _TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,200}>")
 _LINK = re.compile(r"\]\([^()\s]*\)")
-_BREAK = re.compile(r"(?<=[^\W\d_])[-‐\xad][ \t]*\r?\n[ \t]*(?:[>|*#/%;]+[ \t]*)*(?=[^\W\d_])")
+_BREAK = re.compile(r"[-‐\xad](?<=[^\W\d_].)[ \t]*\r?\n[ \t]*(?:[>|*#/%;]+[ \t]*)*(?=[^\W\d_])")
 _PREFIX = re.compile(r"^[ \t]*(?:[^\w\s]*\d+[^\w\s]+[ \t]*)+", re.M)
 _WORD = re.compile(r"[^\W_]+")
-_DROP = {ord(c): None for c in "'’‘ʼ`´\xad​‌‍﻿"}
+_DROP = re.compile("['\u2019\u2018\u02bc`\u00b4\u00ad\u200b\u200c\u200d\ufeff]+")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -67,7 +67,7 @@ def words_of(text: str | None) -> list[str]:
     if "\n" in text:
         text = _PREFIX.sub("", _BREAK.sub("", text))
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text).translate(_DROP)
+        text = _DROP.sub("", unicodedata.normalize("NFKC", text))
     else:
         text = text.replace("'", "").replace("`", "")
     return _WORD.findall(text.lower())
@@ -93,6 +93,12 @@ def least_seeds(need: int, n: int, k: int) -> int:
     return min(seeds_kept(m, k) for m in passage_lengths(need, n))
 
 
+def least_under(need: int, n: int) -> int:
+    """Least number of words of a passage of an item with ``n`` words that stand in runs of at least MIN_TILE equal words:
+    each altered word takes itself and at most two others from them."""
+    return min(m - MIN_TILE * (m // ALTERED) for m in passage_lengths(need, n))
+
+
 def _grams(ids: np.ndarray, k: int) -> np.ndarray:
     """Karp-Rabin hashes of all k-grams; 0 where a gram holds an unknown word (-1)."""
     n = len(ids) - k + 1
@@ -133,6 +139,8 @@ class ItemIndex:
             keys, first, count = np.unique(h[order], return_index=True, return_counts=True)
             self.by_k[k] = keys, first, count, item[order], pos[order]
         self.tiles = self._tile_seeds()
+        #: Words under common runs that a pair must have, for a passage or the coverage.
+        self.under = np.array([min(COVERAGE * n, least_under(need, n)) if need >= MIN_TILE else 0 for need, n in sizes])
 
     def _tile_seeds(self) -> tuple[np.ndarray, ...]:
         """Seeds of MIN_TILE words for the coverage, without those that are held back."""
@@ -265,6 +273,15 @@ def runs(a: np.ndarray, b: np.ndarray, least: int = MIN_TILE, grams: tuple[np.nd
     return first[1], first[0] + first[1], last[1] - first[1] + least
 
 
+def words_met(grams: tuple[np.ndarray, np.ndarray], item: np.ndarray) -> int:
+    """Item words under n-grams of MIN_TILE words that stand in a row with the sorted hashes ``grams``."""
+    hashes, h = grams[0], _grams(item, MIN_TILE)
+    at = np.searchsorted(hashes, h)
+    at[at == len(hashes)] = 0
+    p = np.flatnonzero(hashes[at] == h) if len(hashes) else at[:0]
+    return int(np.minimum(np.diff(p), MIN_TILE).sum()) + MIN_TILE if len(p) else 0
+
+
 def under(found: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> int:
     """Words of an item of ``n`` words that are in any of the common runs: no tiling covers more."""
     _, y, size = found
@@ -378,7 +395,7 @@ def passage_runs(found: tuple[np.ndarray, np.ndarray, np.ndarray], need: int, n_
     """
     x, y, n = found
     lengths = passage_lengths(need, n_item)
-    least = min(m - MIN_TILE * (m // ALTERED) for m in lengths)
+    least = least_under(need, n_item)
     own = np.flatnonzero(n >= min(ALTERED // 2, need))
     if n.sum() < least:
         own = own[:0]
@@ -426,6 +443,8 @@ def _leaks_of_block(corpus: DataFrame, block: list[tuple[str | None, str]]) -> D
             need = int(index.need[i])
             if r != at:  # pairs come row by row
                 at, grams = r, sorted_grams(lists[r])
+            if need >= MIN_TILE and words_met(grams, item) < index.under[i]:
+                continue
             common = runs(lists[r], item, MIN_TILE, grams) if need >= MIN_TILE else runs(lists[r], item, need)
             through = passage_runs(common, need, len(item))
             enough = under(common, len(item)) >= COVERAGE * len(item)
