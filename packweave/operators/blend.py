@@ -42,8 +42,8 @@ def blend(order: DataFrame, chunks: DataFrame, workers: int = 1, strict: bool =
 
 
 def mix_report(blended: DataFrame, config: DataFrame) -> DataFrame:
-    """Expected and obtained share of each subset."""
+    """Expected and obtained share of each subset; shares of nothing are 0."""
     counts = blended.groupBy(F.col("subset").alias("_s")).agg(F.count(F.lit(1)).alias("obtained"))
     every = Window.partitionBy(F.lit(0))  # one row per subset
     out = config.select("subset", "weight").join(small(counts), F.col("subset") == F.col("_s"), "left").drop("_s").fillna(0, ["obtained"])
-    return out.withColumn("share", F.round(F.col("obtained") / F.sum("obtained").over(every), 6))
+    return out.withColumn("share", F.round(F.coalesce(F.try_divide("obtained", F.sum("obtained").over(every)), F.lit(0.0)), 6))

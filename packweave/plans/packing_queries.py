@@ -240,5 +240,5 @@ SQL = {
     "SELECT worker, pos, subset, occ FROM j LEFT JOIN e USING (worker) WHERE stop IS NULL OR pos < stop",
     "stored_shards": c.BASE_MIX + "SELECT chunk_id, CAST(chunk_id % 4 AS INTEGER) AS worker, chunk_id // 4 AS worker_pos FROM mix WHERE len(list_filter(ids, lambda x: x = 2)) <= 2",
     "blend_mix_report": c.with_(c.DOCS, c.TOK, c.EOS, c.UNI, _ORDER)
-    + f", j AS (SELECT bl.pos, bl.subset, u.ids FROM bl LEFT JOIN uni u ON u.subset = bl.subset AND u.chunk_id = bl.occ), n AS (SELECT subset, count(*) AS obtained FROM j WHERE pos < coalesce((SELECT min(pos) FROM j WHERE ids IS NULL), 1000000000000) GROUP BY 1) SELECT g.subset, weight, coalesce(obtained, 0) AS obtained, round(coalesce(obtained, 0) / (SELECT sum(obtained) FROM n), 6) AS share FROM corpus_config g LEFT JOIN n USING (subset)",
+    + f", j AS (SELECT bl.pos, bl.subset, u.ids FROM bl LEFT JOIN uni u ON u.subset = bl.subset AND u.chunk_id = bl.occ), n AS (SELECT subset, count(*) AS obtained FROM j WHERE pos < coalesce((SELECT min(pos) FROM j WHERE ids IS NULL), 1000000000000) GROUP BY 1) SELECT g.subset, weight, coalesce(obtained, 0) AS obtained, coalesce(round(coalesce(obtained, 0) / nullif((SELECT sum(obtained) FROM n), 0), 6), 0.0) AS share FROM corpus_config g LEFT JOIN n USING (subset)",
 }
