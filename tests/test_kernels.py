@@ -1,6 +1,9 @@
 """Kernels and columns against plain loops."""
 
+import math
 import random
+from collections import Counter
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pytest
@@ -293,6 +296,64 @@ def test_search_prefers_and_restricts(spark):
         assert [(r.doc, r.score) for r in got] == [(r.doc, r.score) for r in retrieval.search(index, asked, 5).collect() if r.doc == 2]
 
 
+def _loop_search(docs, asked, k, method):
+    """Scores of every pair in decimals; rows of one document are added up."""
+    n, avgdl = len(docs), sum(len(t) for _, t in docs) / len(docs)
+    df = Counter(t for _, terms in docs for t in set(terms))
+    out = []
+    for query in sorted({q for q, _ in asked}):
+        scores = {}
+        for term, qtf in Counter(t for q, t in asked if q == query).items():
+            for doc, terms in docs:
+                tf = terms.count(term)
+                if tf:
+                    bm25 = math.log(1 + (n - df[term] + 0.5) / (df[term] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * (len(terms) / avgdl)))
+                    w = qtf * (bm25 if method == "bm25" else tf * math.log(n / df[term]))
+                    scores[doc] = scores.get(doc, 0) + Decimal(repr(w)).quantize(Decimal("1e-9"), ROUND_HALF_UP)
+        rounded = [(-s.quantize(Decimal("1e-6"), ROUND_HALF_UP), d) for d, s in scores.items()]
+        best = sorted(x for x in rounded if x[0] < 0)[:k]
+        out += [(query, i + 1, d, float(-s)) for i, (s, d) in enumerate(best)]
+    return out
+
+
+@pytest.mark.parametrize("method", ["bm25", "tfidf"])
+@pytest.mark.parametrize("block", [1 << 21, 40])
+def test_search_equals_a_loop_for_any_blocks(spark, monkeypatch, method, block):
+    r = random.Random(7)
+    texts = [[r.choice("abcdefghij") * r.choice((1, 1, 2)) for _ in range(r.choice((0, 1, 5, 12)))] for _ in range(40)]
+    docs = [(i, texts[i % 25]) for i in range(40)] + [(3, ["a", "b"]), (3, ["a"])]  # equal texts, and a document in three rows
+    asked = [(q, r.choice("abcdefghij")) for q in range(6) for _ in range(9)] + [(9, "zzz")]
+    df = spark.createDataFrame([("s", q, t) for q, t in asked] + [("u", 1, "a")], "shard string, query long, term string")
+    monkeypatch.setattr(retrieval, "BLOCK_TERMS", block)
+    for some, stored in ((docs, False), (docs[:40], True)):
+        col = spark.createDataFrame([("s", d, t) for d, t in some] + [("t", 1, ["a"])], "shard string, doc long, terms array<string>").repartition(3)
+        index = retrieval.build_index(col)
+        if stored:  # an index that was loaded has no texts
+            index = retrieval.Index(index.postings, index.docs, index.shards, index.terms)
+        got = sorted((x.query, x.rank, x.doc, x.score) for x in retrieval.search(index, df, 4, method).collect())
+        assert got == _loop_search(some, asked, 4, method)
+
+
+def test_search_writes_no_pairs(spark):
+    n = 300
+    col = spark.range(n).select(F.lit("s").alias("shard"), F.col("id").alias("doc"), F.array(F.lit("a"), F.lit("b"), F.concat(F.lit("x"), "id")).alias("terms"))
+    asked = col.select("shard", F.col("doc").alias("query"), F.explode("terms").alias("term"))
+    sc, joins = spark.sparkContext, "spark.sql.autoBroadcastJoinThreshold"
+    held = spark.conf.get(joins)
+    spark.conf.set(joins, -1)
+    sc.setJobGroup("no pairs", "")
+    try:
+        assert retrieval.search(retrieval.build_index(col), asked, 3).count() == 3 * n
+    finally:
+        spark.conf.set(joins, held)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    tracker, store = sc.statusTracker(), sc._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup("no pairs") for s in tracker.getJobInfo(j).stageIds}
+    written = sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+    assert 0 < written < n * n / 4
+
+
 def test_index_is_saved_and_loaded(spark, tmp_path):
     col = spark.createDataFrame([("s", 1, ["a", "b"]), ("s", 2, ["a", "a", "c"]), ("s", 4, [])], "shard string, doc long, terms array<string>")
     index = retrieval.build_index(col)
