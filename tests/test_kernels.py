@@ -317,7 +317,7 @@ def _loop_search(docs, asked, k, method):
 
 
 @pytest.mark.parametrize("method", ["bm25", "tfidf"])
-@pytest.mark.parametrize("block", [1 << 21, 40])
+@pytest.mark.parametrize("block", [1 << 20, 40])
 def test_search_equals_a_loop_for_any_blocks(spark, monkeypatch, method, block):
     r = random.Random(7)
     texts = [[r.choice("abcdefghij") * r.choice((1, 1, 2)) for _ in range(r.choice((0, 1, 5, 12)))] for _ in range(40)]
@@ -334,22 +334,26 @@ def test_search_equals_a_loop_for_any_blocks(spark, monkeypatch, method, block):
         assert got == _loop_search(some, asked, 4, method)
 
 
-def test_search_writes_no_pairs(spark):
+@pytest.mark.parametrize("kind", ["bm25", "stemmed"])
+def test_search_writes_no_pairs(spark, kind):
     n = 300
-    col = spark.range(n).select(F.lit("s").alias("shard"), F.col("id").alias("doc"), F.array(F.lit("a"), F.lit("b"), F.concat(F.lit("x"), "id")).alias("terms"))
+    often = F.when(F.col("id") % 2 == 0, "connected").otherwise("relating")
+    col = spark.range(n).select(F.lit("s").alias("shard"), F.col("id").alias("doc"), F.array(often, F.lit("b"), F.concat(F.lit("x"), "id")).alias("terms"))
+    if kind == "stemmed":
+        col = col.withColumn("terms", text.stemmed_terms("terms"))
     asked = col.select("shard", F.col("doc").alias("query"), F.explode("terms").alias("term"))
     sc, joins = spark.sparkContext, "spark.sql.autoBroadcastJoinThreshold"
     held = spark.conf.get(joins)
     spark.conf.set(joins, -1)
-    sc.setJobGroup("no pairs", "")
+    sc.setJobGroup(f"no pairs {kind}", "")
     try:
-        assert retrieval.search(retrieval.build_index(col), asked, 3).count() == 3 * n
+        assert retrieval.search(retrieval.build_index(col), asked, 3, "tfidf" if kind == "tfidf" else "bm25").count() == 3 * n
     finally:
         spark.conf.set(joins, held)
         sc.setLocalProperty("spark.jobGroup.id", None)
     sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     tracker, store = sc.statusTracker(), sc._jsc.sc().statusStore()
-    stages = {s for j in tracker.getJobIdsForGroup("no pairs") for s in tracker.getJobInfo(j).stageIds}
+    stages = {s for j in tracker.getJobIdsForGroup(f"no pairs {kind}") for s in tracker.getJobInfo(j).stageIds}
     written = sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
     assert 0 < written < n * n / 4
 
