@@ -334,7 +334,7 @@ def test_search_equals_a_loop_for_any_blocks(spark, monkeypatch, method, block):
         assert got == _loop_search(some, asked, 4, method)
 
 
-@pytest.mark.parametrize("kind", ["bm25", "stemmed"])
+@pytest.mark.parametrize("kind", ["bm25", "tfidf", "stemmed"])
 def test_search_writes_no_pairs(spark, kind):
     n = 300
     often = F.when(F.col("id") % 2 == 0, "connected").otherwise("relating")
