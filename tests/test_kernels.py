@@ -6,6 +6,7 @@ from collections import Counter
 from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -358,6 +359,46 @@ def test_search_writes_no_pairs(spark, kind):
     assert 0 < written < n * n / 4
 
 
+def test_search_shuffles_a_part_of_the_terms(spark, monkeypatch):
+    """What is written for the next stages is under a third of the terms' bytes, also where queries meet many blocks."""
+    n, per = 3000, 80
+    terms = F.transform(F.sequence(F.lit(1), F.lit(per)), lambda i: F.concat(F.lit("term"), F.pmod(F.xxhash64("id", i), F.lit(300))))
+    col = spark.range(0, n, 1, 3).select(F.lit("s").alias("shard"), F.col("id").alias("doc"), terms.alias("terms"))
+    asked = col.where("doc % 50 = 0").select("shard", F.col("doc").alias("query"), F.explode("terms").alias("term"))
+    monkeypatch.setattr(retrieval, "BLOCK_TERMS", 1 << 15)
+    sc = spark.sparkContext
+    sc.setJobGroup("shuffled bytes", "")
+    try:
+        assert retrieval.search(retrieval.build_index(col), asked, 3, "tfidf").count() == 3 * n // 50
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    tracker, store = sc.statusTracker(), sc._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup("shuffled bytes") for s in tracker.getJobInfo(j).stageIds}
+    written = sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages)
+    assert 0 < written < n * per * len("term123") / 3
+
+
+def test_packets_keep_ids_lengths_and_counts():
+    damaged = pa.array([b"\xff\xfe"], pa.binary()).view(pa.string())
+    flat = pa.concat_arrays([pa.array(["b", "a", "b", None, "", "a", "é", "c"]), damaged])
+    lists = pa.ListArray.from_arrays(pa.array([0, 4, None, 4, 6, 7, 9], pa.int32()), flat)
+    rows = pa.table({"shard": ["t", "s", "t", "s", "t", "s"], "_block": pa.array([1, 0, 1, 2, 0, 0], pa.int32()), "doc": [7, 8, None, 3, 3, 9], "terms": lists})
+    packets = retrieval._packets(rows, ["shard", "_block"], "doc")
+    assert packets.select(["shard", "_block", "ids"]).to_pylist() == [
+        {"shard": "s", "_block": 0, "ids": [8, 9]}, {"shard": "s", "_block": 2, "ids": [3]}, {"shard": "t", "_block": 0, "ids": [3]}, {"shard": "t", "_block": 1, "ids": [7, None]},
+    ]
+    got = retrieval._opened(packets, False)
+    words = got.words.to_pylist()
+    assert got.ids.to_pylist() == [8, 9, 3, 3, 7, None] and got.lengths.tolist() == [0, 2, 2, 1, 4, 0]
+    want = [(1, b"c", 1), (1, b"\xff\xfe", 1), (2, b"", 1), (2, b"a", 1), (3, "é".encode(), 1), (4, b"a", 1), (4, b"b", 2)]
+    assert sorted((r, words[t], f) for r, t, f in zip(got.row.tolist(), got.term.tolist(), got.tf.tolist(), strict=True)) == want
+    weighted = pa.table({"shard": ["s", "s"], "query": [1, 2], "terms": [["a", "b", "a"], ["b"]], "idf": [[0.1, 0.7, 0.1], [0.7]]})
+    got = retrieval._opened(retrieval._packets(weighted, ["shard"], "query"), True)
+    assert dict(zip(got.words.to_pylist(), got.idf.tolist(), strict=True)) == {b"a": 0.1, b"b": 0.7} and got.tf.tolist() == [2, 1, 1]
+    assert len(retrieval._packets(rows.slice(0, 0), ["shard", "_block"], "doc")) == 0
+
+
 def test_index_is_saved_and_loaded(spark, tmp_path):
     col = spark.createDataFrame([("s", 1, ["a", "b"]), ("s", 2, ["a", "a", "c"]), ("s", 4, [])], "shard string, doc long, terms array<string>")
     index = retrieval.build_index(col)
